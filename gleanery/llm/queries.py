@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gleanery.llm import leak_queries, page_queries
+from gleanery.llm import duplicate_queries, leak_queries, page_queries
 
-MODULES = [page_queries, leak_queries]
+MODULES = [page_queries, leak_queries, duplicate_queries]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
