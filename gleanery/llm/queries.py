@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from gleanery.llm import duplicate_queries, leak_queries, page_queries
+from gleanery.llm import (
+    duplicate_queries,
+    leak_queries,
+    page_queries,
+    token_queries,
+    turn_queries,
+    vector_queries,
+)
 
-MODULES = [page_queries, leak_queries, duplicate_queries]
+MODULES = [page_queries, turn_queries, vector_queries, duplicate_queries, token_queries, leak_queries]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
