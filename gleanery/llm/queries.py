@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gleanery.llm import (
+    abuse_queries,
     duplicate_queries,
     leak_queries,
     page_queries,
@@ -11,7 +12,9 @@ from gleanery.llm import (
     vector_queries,
 )
 
-MODULES = [page_queries, turn_queries, vector_queries, duplicate_queries, token_queries, leak_queries]
+MODULES = [
+    page_queries, turn_queries, vector_queries, duplicate_queries, token_queries, leak_queries, abuse_queries,
+]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
