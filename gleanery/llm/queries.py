@@ -7,13 +7,14 @@ from gleanery.llm import (
     duplicate_queries,
     leak_queries,
     page_queries,
+    scan_queries,
     token_queries,
     turn_queries,
     vector_queries,
 )
 
 MODULES = [
-    page_queries, turn_queries, vector_queries, duplicate_queries, token_queries, leak_queries, abuse_queries,
+    page_queries, scan_queries, turn_queries, vector_queries, duplicate_queries, token_queries, leak_queries, abuse_queries,
 ]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
