@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import integrity
+from gleanery.plans import integrity, retrieval
 
-MODULES = [integrity]
+MODULES = [integrity, retrieval]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def sql() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p1_found"](spark, sf_dir)
+    return queries()["hybrid_search_rrf"](spark, sf_dir)
