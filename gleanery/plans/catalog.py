@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import integrity, retrieval
+from gleanery.plans import decisions, evaluation, graph, integrity, portfolio, retrieval, state, units, usage
+from gleanery.streaming import events
 
-MODULES = [integrity, retrieval]
+MODULES = [integrity, retrieval, units, decisions, evaluation, usage, state, portfolio, graph, events]
 
 
 def queries() -> dict:
@@ -18,4 +19,5 @@ def sql() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval: dense and lexical lists fused by reciprocal rank."""
     return queries()["hybrid_search_rrf"](spark, sf_dir)

@@ -33,11 +33,14 @@ FUNCTIONS = {
     "joined": ("array_join($1, $2)", "array_to_string($1, $2)"),
     "split": ("split($1, $2)", "string_split_regex($1, $2)"),
     "json": ("get_json_object($1, $2)", "json_extract_string($1, $2)"),
-    "div": ("($1 div $2)", "($1 // $2)"),
+    "div": ("(($1) div ($2))", "(($1) // ($2))"),
     "range": ("sequence($1, $2)", "generate_series($1, $2)"),
     "days": ("datediff($1, $2)", "date_diff('day', $2, $1)"),
     "date": ("to_date($1)", "CAST($1 AT TIME ZONE 'UTC' AS DATE)"),
     "num": ("try_cast($1 AS $2)", "TRY_CAST($1 AS $2)"),
+    "isoyear": ("extract(yearofweek FROM $1)", "extract(isoyear FROM $1)"),
+    "sorted": ("sort_array($1)", "list_sort($1)"),
+    "tidy": ("lower(btrim($1, ' \t\n\r\u00a0'))", "lower(trim($1, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"),
     "list": ("collect_list($1)", "list($1)"),
     "at": ("element_at($1, $2)", "list_extract($1, $2)"),
 }

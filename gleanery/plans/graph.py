@@ -11,8 +11,8 @@ from gleanery.plans.dialect import plans
 from gleanery.session import table
 
 _LIVE = """
- n AS (SELECT DISTINCT lower(trim(node_id)) AS id, node_type FROM {nodes} WHERE purged_at IS NULL),
- e AS (SELECT DISTINCT edge_id, lower(trim(src)) AS src, lower(trim(dst)) AS dst, relation, tier, confidence, source_doc, invalid_at FROM {edges}
+ n AS (SELECT DISTINCT [[tidy:node_id]] AS id, node_type FROM {nodes} WHERE purged_at IS NULL),
+ e AS (SELECT DISTINCT edge_id, [[tidy:src]] AS src, [[tidy:dst]] AS dst, relation, tier, confidence, source_doc, invalid_at FROM {edges}
        WHERE src IS NOT NULL AND dst IS NOT NULL)
 """
 TEXTS = {
@@ -47,7 +47,7 @@ TEXTS = {
           UNION ALL SELECT item_id, 'in_series', series FROM i WHERE series IS NOT NULL AND series <> ''
           UNION ALL SELECT item_id, 'applies_to', stage FROM s UNION ALL SELECT item_id, 'about', topic FROM t) x GROUP BY relation""",
     "alias_resolution": """-- J19 X27: labels resolved by their normal form to the first node of it
-        WITH k AS (SELECT DISTINCT lower(trim(node_id)) AS id, trim([[replace:[[replace:lower(label)¦'[.]'¦'']]¦'[ ]+'¦' ']]) AS name FROM {nodes} WHERE label IS NOT NULL AND purged_at IS NULL),
+        WITH k AS (SELECT DISTINCT [[tidy:node_id]] AS id, trim([[replace:[[replace:lower(label)¦'[.]'¦'']]¦'[ ]+'¦' ']]) AS name FROM {nodes} WHERE label IS NOT NULL AND purged_at IS NULL),
         f AS (SELECT name, min(id) AS owner FROM k GROUP BY name)
         SELECT k.id, f.owner FROM k JOIN f ON k.name = f.name WHERE k.id <> f.owner""",
 }
@@ -78,7 +78,7 @@ def graph_components(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES |= {"graph_bfs": graph_bfs, "graph_components": graph_components}
 SQL["graph_bfs"] = """
-    WITH e AS (SELECT DISTINCT lower(trim(dst)) AS src, lower(trim(src)) AS dst, relation FROM edges
+    WITH e AS (SELECT DISTINCT lower(trim(dst, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS src, lower(trim(src, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS dst, relation FROM edges
                WHERE invalid_at IS NULL AND trim(src) <> '' AND trim(dst) <> ''),
     h1 AS (SELECT DISTINCT e.* FROM e WHERE src LIKE 'stage:%'),
     f1 AS (SELECT DISTINCT dst FROM h1 WHERE dst NOT LIKE 'stage:%' OR dst NOT IN (SELECT src FROM h1)),

@@ -6,12 +6,12 @@ from gleanery.plans.dialect import plans
 
 _ASKS = """
  marked AS (
-  SELECT *, CASE WHEN prev IS NULL OR at - prev > 120 THEN 1 ELSE 0 END AS new_ask,
-    CASE WHEN prev IS NULL OR at - prev > 5 THEN 1 ELSE 0 END AS new_round FROM (
-      SELECT event_id, user_id, event_type, value, [[epoch:ts]] AS at,
+  SELECT *, CASE WHEN prev IS NULL OR at_s - prev > 120 THEN 1 ELSE 0 END AS new_ask,
+    CASE WHEN prev IS NULL OR at_s - prev > 5 THEN 1 ELSE 0 END AS new_round FROM (
+      SELECT event_id, user_id, event_type, value, [[epoch:ts]] AS at_s,
         lag([[epoch:ts]]) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, ts FROM {events}) e),
  asks AS (
-  SELECT event_id, user_id, event_type, value, at,
+  SELECT event_id, user_id, event_type, value, at_s,
     sum(new_ask) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ask_no,
     sum(new_round) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS round_no
   FROM marked)
@@ -20,7 +20,7 @@ _LEVEL = "CASE WHEN value >= 100 THEN 'strong' WHEN value >= 50 THEN 'partial' W
 
 TEXTS = {
     "ask_sessions": f"""-- W4: asks (gap over 120 s) and rounds (gap over 5 s) per run
-        WITH {_ASKS} SELECT user_id, CAST(ask_no AS BIGINT) AS ask_no, min(at) AS started, max(at) AS ended,
+        WITH {_ASKS} SELECT user_id, CAST(ask_no AS BIGINT) AS ask_no, min(at_s) AS started, max(at_s) AS ended,
           CAST(count(*) AS BIGINT) AS n_events, CAST(count(DISTINCT round_no) AS BIGINT) AS n_rounds
         FROM asks GROUP BY user_id, ask_no""",
     "usage_summary": """-- A9 V28: calls, empty results and exact percentiles per tool
@@ -34,7 +34,7 @@ TEXTS = {
           max(CASE WHEN rn = 1 + [[div:(n - 1) * 19 + 10¦20]] THEN value END) AS p95
         FROM spots GROUP BY event_type""",
     "weak_searches": f"""-- W40 L5: newest weak calls
-        SELECT event_id, user_id, event_type, [[epoch:ts]] AS at FROM {{events}}
+        SELECT event_id, user_id, event_type, [[epoch:ts]] AS at_s FROM {{events}}
         WHERE {_LEVEL} IN ('none', 'empty') ORDER BY ts DESC, event_id LIMIT 50""",
     "gap_report": f"""-- A10 M15: levels per tool with the spread of values in hundredths
         SELECT event_type, {_LEVEL} AS level, CAST(count(*) AS BIGINT) AS n,
@@ -56,14 +56,14 @@ TEXTS = {
         SELECT event_type, CAST(count(*) AS BIGINT) AS n_kept FROM {events} e
         JOIN newest ON [[epoch:e.ts]] >= m - 14 * 86400 GROUP BY event_type""",
     "run_lengths": """-- N3: consecutive failures per run, parked from the third on
-        WITH f AS (SELECT user_id, event_id, [[epoch:ts]] AS at, ts, CASE WHEN value < 50 THEN 1 ELSE 0 END AS bad FROM {events}),
+        WITH f AS (SELECT user_id, event_id, [[epoch:ts]] AS at_s, ts, CASE WHEN value < 50 THEN 1 ELSE 0 END AS bad FROM {events}),
         g AS (SELECT *, sum(1 - bad) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM f),
         s AS (SELECT *, sum(bad) OVER (PARTITION BY user_id, grp ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM g)
         SELECT user_id, CAST(max(streak) AS BIGINT) AS longest, CAST(sum(CASE WHEN streak = 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_parked
         FROM s GROUP BY user_id""",
     "abandoned_runs": """-- N9: a run whose next start comes before any finish is abandoned
-        SELECT user_id, CAST(sum(CASE WHEN nxt IS NOT NULL AND nxt - at < 3600 THEN 1 ELSE 0 END) AS BIGINT) AS n_abandoned FROM (
-          SELECT user_id, [[epoch:ts]] AS at, lead([[epoch:ts]]) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM {events}) x
+        SELECT user_id, CAST(sum(CASE WHEN nxt IS NOT NULL AND nxt - at_s < 3600 THEN 1 ELSE 0 END) AS BIGINT) AS n_abandoned FROM (
+          SELECT user_id, [[epoch:ts]] AS at_s, lead([[epoch:ts]]) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM {events}) x
         GROUP BY user_id""",
     "tumbling_counts": """-- N12: events and value sums (cents) per hour and type
         SELECT event_type, [[div:[[epoch:ts]]¦3600]] AS hour_no, CAST(count(*) AS BIGINT) AS n FROM {events}
