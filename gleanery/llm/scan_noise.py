@@ -213,7 +213,12 @@ class Book:
                 and any(_like(a, b) for a in parts for b in others)
                 for (q, j), others in edge.items()
             )
-            if twin and not _END_MARK.search(self.pages[p][i].strip()):
+            text = self.pages[p][i].strip()
+            rows = [j for j, t in enumerate(self.pages[p]) if (t or "").strip()]
+            outer = {rows[1]: rows[0], rows[-2]: rows[-1]}.get(i) if len(rows) > 3 else None
+            if outer is not None and self.kind[p, outer] != "furniture":
+                continue
+            if twin and not _END_MARK.search(text) and text[-1] not in HYPHENS:
                 self.kind[p, i] = "furniture"
         for p in self.pages:
             rows = [i for i in range(len(self.pages[p])) if self.kind[p, i] != "blank"]

@@ -45,7 +45,7 @@ def test_repeated_lines(spark):
     got = {tuple(r) for r in rl.repeated_lines(*frames(spark, pages, raw)).select("doc_id", "line_no").collect()}
     lines = {no for d, no in got if d == "d3"}
     # menu entry, date (digits folded), comments heading and footer
-    assert {5, 9, 13, 17} <= lines and 10 not in lines and 8 not in lines
+    assert {5, 9, 14, 18} <= lines and 10 not in lines and 8 not in lines
     few_pages, few_raw = site(7)
     assert rl.repeated_lines(*frames(spark, few_pages, few_raw)).count() == 0
 

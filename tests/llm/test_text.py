@@ -149,17 +149,18 @@ FACTS = "path string, sha256 string, edge_pages map<int, array<string>>, page_la
 def test_faults_and_paragraphs(spark):
     line = "The gentle teacher measures the old garden every week and the"
     text = [line, "neighbour counts the well-worn tools before the garden closes.", line, "neighbour counts the well-worn tools before the garden clo-", "ses again. A teacher likes well-", "worn tools. Every fhing in fhe garden."]
-    pages = {p: [*text, str(p)] for p in range(2, 40)}
-    pages[50] = ["The old garden and tbe", "neighbour"]
+    names = ["Ann", "Bob", "Cleo", "Dan", "Eve", "Flo", "Gus", "Hal", "Ida", "Joe", "Kit", "Liv", "Mia", "Ned", "Oda", "Pia"]
+    pages = {p: [f"{names[p % 16]} {names[p // 16]} waits and {names[p // 2 % 16]} sees the garden,", *text, str(p)] for p in range(2, 40)}
+    pages[50] = ["Liv says that a gentle teacher measures the old garden and tbe", "neighbour"]
     rows = [("b", "x", pages, {2: "2"}, None), ("b", "x", pages, {2: "2"}, None), ("c", "y", None, None, None), ("d", "z", {}, None, "{}")]
     df = spark.createDataFrame(rows, FACTS)
     got = {tuple(r) for r in scan_noise.line_faults(df).collect()}
-    assert ("b", 2, 7, "furniture") in got and ("b", 2, 4, "hyphen") in got
-    assert ("b", 2, 5, "hyphen") not in got
+    assert ("b", 2, 8, "furniture") in got and ("b", 2, 2, "furniture") not in got and ("b", 2, 5, "hyphen") in got
+    assert ("b", 2, 6, "hyphen") not in got
     assert ("b", 50, 1, "misread") in got
     texts = [r["text"] for r in scan_noise.repaired_paragraphs(df).where("path = 'b'").orderBy("para_no").collect()]
     assert any("closes again. A teacher likes well-worn tools." in t for t in texts)
-    assert any("The old garden and the neighbour" in t for t in texts)
+    assert any("measures the old garden and the neighbour" in t for t in texts)
 
 
 # ---- abuse
