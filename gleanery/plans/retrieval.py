@@ -239,10 +239,10 @@ SQL = {
     "full_search": f"""
         WITH {_FUSED},
         s AS (SELECT f.qid, f.vec_id, coalesce(d.source, '') AS source,
-            CAST(floor((f.fused / max(f.fused) OVER (PARTITION BY f.qid)
+            CAST(floor((f.fused / f.best
               + CASE WHEN d.published_at IS NULL THEN 0 ELSE 0.03::DOUBLE * pow(0.5::DOUBLE,
                   greatest(0, {THIS_YEAR} - year(d.published_at AT TIME ZONE 'UTC'))::DOUBLE / 5) END) * 1e6 + 0.5) AS BIGINT) AS micro
-          FROM (SELECT * FROM fused WHERE rank <= 50) f JOIN documents d ON d.doc_id = f.vec_id + {DOC_BASE}),
+          FROM (SELECT *, max(fused) OVER (PARTITION BY qid) AS best FROM fused WHERE rank <= 50) f JOIN documents d ON d.doc_id = f.vec_id + {DOC_BASE}),
         c AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY micro DESC, vec_id) AS n FROM s)
         SELECT qid, vec_id, micro, final_rank FROM (
           SELECT *, row_number() OVER (PARTITION BY qid ORDER BY micro DESC, vec_id) AS final_rank FROM c
