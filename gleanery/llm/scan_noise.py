@@ -606,7 +606,7 @@ def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if x["kind"] in ("furniture", "garbled", "blank"):
                     continue
                 text = x["text"]
-                for f in x["fixes"] or []:
+                for f in x["fixes"] if x["fixes"] is not None else ():
                     text = re.sub(
                         rf"(?<!\w){re.escape(f['word'])}(?!\w)",
                         lambda m, to=f["fixed"]: to.capitalize() if m.group()[:1].isupper() else to,

@@ -151,7 +151,7 @@ def test_faults_and_paragraphs(spark):
     text = [line, "neighbour counts the well-worn tools before the garden closes.", line, "neighbour counts the well-worn tools before the garden clo-", "ses again. A teacher likes well-", "worn tools. Every fhing in fhe garden."]
     names = ["Ann", "Bob", "Cleo", "Dan", "Eve", "Flo", "Gus", "Hal", "Ida", "Joe", "Kit", "Liv", "Mia", "Ned", "Oda", "Pia"]
     pages = {p: [f"{names[p % 16]} {names[p // 16]} waits and {names[p // 2 % 16]} sees the garden,", *text, str(p)] for p in range(2, 40)}
-    pages[50] = ["Liv says that a gentle teacher measures the old garden and tbe", "neighbour"]
+    pages[50] = ["Liv says that a gentle teacher measures fhe old garden and tbe", "neighbour"]
     rows = [("b", "x", pages, {2: "2"}, None), ("b", "x", pages, {2: "2"}, None), ("c", "y", None, None, None), ("d", "z", {}, None, "{}")]
     df = spark.createDataFrame(rows, FACTS)
     got = {tuple(r) for r in scan_noise.line_faults(df).collect()}
