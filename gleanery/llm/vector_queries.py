@@ -51,4 +51,21 @@ def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
-SQL: dict[str, str] = {}
+SQL = {
+    "p5_found": r"""
+    WITH v AS (
+      SELECT DISTINCT 'vectors' AS space, n AS id, CAST(data AS DOUBLE[]) AS d FROM vectors WHERE len(data) = 64
+      UNION ALL SELECT DISTINCT 'vecs/' || lower(trim(model)), vec_id, CAST(data AS DOUBLE[]) FROM vecs
+      WHERE len(data) = TRY_CAST(regexp_extract(lower(trim(model)), '-(\d+)$', 1) AS INTEGER)
+    ), w AS MATERIALIZED (
+      SELECT space, id, list_filter(d, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x)) AS d, len(d) AS n FROM v
+    ), s AS MATERIALIZED (
+      SELECT space, id, d, sqrt(list_dot_product(d, d)) AS size FROM w WHERE len(d) = n
+    ), p AS (
+      SELECT a.space, a.id, b.id AS other, list_dot_product(a.d, b.d) / (a.size * b.size) AS c
+      FROM s a JOIN s b ON a.space = b.space AND a.id <> b.id WHERE a.size > 0 AND b.size > 0
+    ), r AS (
+      SELECT *, row_number() OVER (PARTITION BY space, id ORDER BY c DESC, other) AS rn FROM p WHERE c >= 0.85
+    )
+    SELECT DISTINCT least(id, other) AS vec_a, greatest(id, other) AS vec_b FROM r WHERE rn <= 5"""
+}
