@@ -20,10 +20,10 @@ def _queries(spark, sf) -> DataFrame:
     )
 
 
-def _dense(spark, sf, k=r.CANDIDATES) -> DataFrame:
+def _dense(spark, sf, k=r.CANDIDATES, group=None) -> DataFrame:
     e = table(spark, sf, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
-    return r.dense_top_k(e, "vec_id", "embedding", q, "qid", k, exclude_self=True)
+    return r.dense_top_k(e, "vec_id", "embedding", q, "qid", k, exclude_self=True, group=group)
 
 
 def _sparse(spark, sf, k=r.CANDIDATES) -> DataFrame:
