@@ -21,10 +21,11 @@ so a group of copies costs one record. Short strings use the same scheme over
 characters: an id and its single-character deletions are the ball, and the
 edit is verified in full.
 
-Results: pairs between all members of classes up to ``EXPANDED_CLASS`` members;
-a larger class is linked to its first member, and only that member stands for
-it in pairs with other classes, so rows stay linear in the input and groups
-stay whole. Null and wordless texts match nothing; redelivered records count
+Results: all pairs between records of different texts, of one class or of similar
+classes. Exact copies (the same text) are paired too, up to ``EXPANDED_CLASS``
+of them; more are linked to their first member, and only that member stands for
+its text in other pairs, so copies stay linear in the input and groups stay
+whole. Null and wordless texts match nothing; redelivered records count
 once; a key redelivered with other text keeps each text.
 """
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from gleanery.session import cut_lineage
 
-#: Members of a class whose pairs are written out in full.
+#: Copies of one text whose pairs are written out in full.
 EXPANDED_CLASS = 50
 
 _KEYS = "key long, id long, n int, parity long, ball int"
@@ -126,29 +127,33 @@ def _tables(classes: DataFrame, with_ball: bool) -> DataFrame:
 
 
 def word_sets(df: DataFrame, table_name: str, key: str, text: str) -> DataFrame:
-    """rec_table, key, set_a, set_b (128-bit name of the word set), words."""
+    """rec_table, key, set_a, set_b (128-bit name of the word set), exact (name
+    of the text itself), words."""
     found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9']+"), F.lit(0))))
     return (
-        df.select(F.lit(table_name).alias("rec_table"), F.col(key).cast("string").alias("key"), found.alias("w"))
+        df.select(
+            F.lit(table_name).alias("rec_table"), F.col(key).cast("string").alias("key"),
+            F.xxhash64(text).alias("exact"), found.alias("w"),
+        )
         .where(F.col("key").isNotNull() & (F.size("w") > 0))
         .select(
             "rec_table", "key",
             F.xxhash64("rec_table", "w").alias("set_a"),
             F.xxhash64("w", F.lit(1)).alias("set_b"),
+            "exact",
             F.transform("w", lambda x: F.hash(x)).alias("words"),
         )
     )
 
 
 def set_classes(sets: DataFrame) -> DataFrame:
-    """One row per distinct word set: rec_table, id, words, rep, n_members."""
+    """One row per distinct word set: rec_table, id, words, n_rows."""
     members = sets.groupBy("rec_table", "set_a", "set_b").agg(
         F.min(F.struct("key", "words")).alias("first"),
-        F.countDistinct("key").alias("n_members"),
+        F.count(F.lit(1)).alias("n_rows"),
     )
     flat = members.select(
-        "rec_table", "set_a", "set_b", F.col("first.key").alias("rep"),
-        F.array_sort(F.array_distinct("first.words")).alias("words"), "n_members",
+        "rec_table", "set_a", "set_b", F.array_sort(F.array_distinct("first.words")).alias("words"), "n_rows",
     )
     return cut_lineage(flat).withColumn("id", F.monotonically_increasing_id())
 
@@ -182,12 +187,16 @@ def similar_classes(classes: DataFrame) -> DataFrame:
 
 
 def class_members(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """id, rec_table, key, rep, n_members of every record."""
+    """id, key, n_rows, rep, n_copies of every record: rep is the first record of
+    its text, n_copies their number."""
+    own = sets.select("rec_table", "set_a", "set_b", "exact", "key").distinct()
+    texts = own.groupBy("rec_table", "set_a", "set_b", "exact").agg(
+        F.min("key").alias("rep"), F.count(F.lit(1)).alias("n_copies")
+    )
     return (
-        sets.select("rec_table", "set_a", "set_b", "key")
-        .distinct()
+        own.join(texts, ["rec_table", "set_a", "set_b", "exact"])
         .join(classes.drop("words"), ["rec_table", "set_a", "set_b"])
-        .select("id", "rec_table", "key", "rep", "n_members")
+        .select("id", "key", "n_rows", "rep", "n_copies")
     )
 
 
@@ -197,17 +206,16 @@ def similar_records(df: DataFrame, table_name: str, key: str, text: str) -> Data
     classes = set_classes(sets)
     pairs = similar_classes(classes)
     members = class_members(sets, classes)
-    shown = members.where((F.col("n_members") <= EXPANDED_CLASS) | (F.col("key") == F.col("rep"))).select("id", "key")
-    several = members.where(F.col("n_members") > 1)
+    shown = members.where((F.col("n_copies") <= EXPANDED_CLASS) | (F.col("key") == F.col("rep"))).select("id", "key", "n_rows")
+    several = shown.where("n_rows > 1")
     inside = (
         several.alias("x")
-        .join(
-            several.where((F.col("n_members") <= EXPANDED_CLASS) | (F.col("key") == F.col("rep"))).alias("y"),
-            (F.col("x.id") == F.col("y.id")) & (F.col("x.key") != F.col("y.key"))
-            & ((F.col("x.n_members") > EXPANDED_CLASS) | (F.col("x.key") < F.col("y.key"))),
-        )
+        .join(several.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.key") < F.col("y.key")))
         .select(F.col("x.key").alias("p"), F.col("y.key").alias("q"))
     )
+    copies = members.where((F.col("n_copies") > EXPANDED_CLASS) & (F.col("key") != F.col("rep"))).select(
+        F.col("rep").alias("p"), F.col("key").alias("q")
+    )
     across = (
         pairs.join(shown.select(F.col("id").alias("id_a"), F.col("key").alias("p")), "id_a")
         .join(shown.select(F.col("id").alias("id_b"), F.col("key").alias("q")), "id_b")
@@ -215,7 +223,8 @@ def similar_records(df: DataFrame, table_name: str, key: str, text: str) -> Data
         .select("p", "q")
     )
     return (
-        inside.unionByName(across)
+        inside.unionByName(copies)
+        .unionByName(across)
         .select(F.lit(table_name).alias("rec_table"), F.least("p", "q").alias("key_a"), F.greatest("p", "q").alias("key_b"))
         .distinct()
     )
