@@ -1,10 +1,10 @@
 """Evaluation passages inside training documents.
 
 Pigeonhole edit matching over words. A passage is any run of ``PASSAGE`` words
-of a test item, with an error budget of ``BUDGET`` words. Items are split into
-pieces of ``PASSAGE // (BUDGET + 1)`` words: a passage on the piece grid with at
-most BUDGET errors keeps one of its BUDGET + 1 pieces intact, and a passage
-without errors keeps one wherever it starts. Exact piece hits come from an
+of a test item, with an error budget of ``BUDGET`` words. A passage is split into
+BUDGET + 1 pieces of ``PASSAGE // (BUDGET + 1)`` words, and with at most BUDGET
+errors it keeps one of them intact. Passages start anywhere, so the pieces at
+every offset of an item are indexed. Exact piece hits come from an
 Aho-Corasick scan of each whole document; every hit is verified with Myers'
 bit-parallel distance between the item's passages around the piece and the
 document's words around the hit.
@@ -81,7 +81,7 @@ class Matcher:
         for i, words in self.items.items():
             if len(words) < passage:
                 continue
-            for p in range(0, len(words) - self.piece + 1, self.piece):
+            for p in range(len(words) - self.piece + 1):
                 key = f" {' '.join(words[p:p + self.piece])} "
                 found.setdefault(key, []).append((i, p))
         self.automaton = ahocorasick.Automaton()
@@ -136,7 +136,9 @@ _HITS = T.StructType(
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, distance (0 = a passage word by word)."""
     items = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
-    n_blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
+    # an item has a piece at every offset; the automaton stays as large as one of
+    # ITEMS_PER_BLOCK items cut piece by piece
+    n_blocks = max(1, -(-items.count() * (PASSAGE // (BUDGET + 1)) // ITEMS_PER_BLOCK))
     texts = documents.select("doc_id", canonical(F.col("text")).alias("words")).where(F.col("words").isNotNull())
     out = None
     for b in range(n_blocks):

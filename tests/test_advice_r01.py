@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 
+from gleanery.llm import eval_leaks
 from gleanery.llm import near_duplicates as nd
 from gleanery.operators import retrieval as rt
 from gleanery.plans import decisions
@@ -48,3 +49,13 @@ def test_large_class_links_all_its_texts(spark):
     stand = [k for k, _ in texts] + ["u000", "z"]
     want = set(itertools.combinations(stand, 2)) | {("u000", k) for k, _ in copies[1:]}
     assert got == want
+
+
+def test_one_wrong_word_is_found_at_every_offset():
+    item = [f"w{i}" for i in range(31)]
+    matcher = eval_leaks.Matcher([(1, " ".join(item))])
+    for at in range(len(item) - eval_leaks.PASSAGE + 1):
+        for wrong in range(eval_leaks.PASSAGE):
+            passage = item[at:at + eval_leaks.PASSAGE]
+            passage[wrong] = "x"
+            assert matcher.distances(" ".join(["", "a", "b", *passage, "c", "d", ""])) == {1: 1}, (at, wrong)
