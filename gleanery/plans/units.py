@@ -161,11 +161,29 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", ft.content_hash(norm).alias("hash"))
 
 
+def index_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    """One hash over the documents in id order, each by its id, text and
+    latest transcript version; hashed by ranges of ids, then over the ranges."""
+    latest = table(spark, sf, "transcripts").groupBy("doc_id").agg(F.max("version").alias("version"))
+    rows = (
+        table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash")).distinct()
+        .join(latest, "doc_id", "left")
+        .withColumn("line", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text_hash", "version")]))
+    )
+
+    def ordered(key: str, cell: str):
+        pairs = F.sort_array(F.collect_list(F.struct(key, cell)))
+        return F.sha2(F.array_join(F.transform(pairs, lambda x: x[cell]), "\n"), 256)
+
+    ranges = rows.groupBy(F.floor(F.col("doc_id") / 10000).alias("part")).agg(ordered("doc_id", "line").alias("hash"))
+    return ranges.agg(ordered("part", "hash").alias("fingerprint"))
+
+
 QUERIES |= {
     f.__name__: f
     for f in (
         rolling_dedup, utterance_merge, chunk_overlap, parent_windows, extraction_windows, long_unit_split,
-        quote_grounding, name_keys, garbled_units, content_hashes,
+        quote_grounding, name_keys, garbled_units, content_hashes, index_fingerprint,
     )
 }
 _UNITS = "u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL)"

@@ -7,7 +7,7 @@ import numpy as np
 from gleanery.llm import eval_leaks
 from gleanery.llm import near_duplicates as nd
 from gleanery.operators import retrieval as rt
-from gleanery.plans import decisions
+from gleanery.plans import decisions, units
 
 
 def test_domain_scores_see_every_label(spark, tmp_path):
@@ -59,3 +59,25 @@ def test_one_wrong_word_is_found_at_every_offset():
             passage = item[at:at + eval_leaks.PASSAGE]
             passage[wrong] = "x"
             assert matcher.distances(" ".join(["", "a", "b", *passage, "c", "d", ""])) == {1: 1}, (at, wrong)
+
+
+DOCS = "doc_id long, text string"
+TALKS = "doc_id long, version int, utterances array<struct<start_ms long, end_ms long, text string>>"
+
+
+def test_fingerprint_sees_text_version_and_order(spark, tmp_path):
+    docs, talks = [(1, "a"), (2, "b"), (20001, None)], [(2, 1, None)]
+    cases = {
+        "same": (docs[::-1] + docs[:1], talks),
+        "text": ([(1, "c"), *docs[1:]], talks),
+        "exchanged": ([(1, "b"), (2, "a"), docs[2]], talks),
+        "version": (docs, [(2, 2, None)]),
+        "empty": ([*docs[:2], (20001, "")], talks),
+        "base": (docs, talks),
+    }
+    got = {}
+    for name, (d, t) in cases.items():
+        spark.createDataFrame(d, DOCS).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(t, TALKS).write.parquet(str(tmp_path / name / "transcripts.parquet"))
+        got[name] = units.QUERIES["index_fingerprint"](spark, str(tmp_path / name)).collect()[0][0]
+    assert got.pop("same") == got["base"] and len(set(got.values())) == 5
