@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as ft
@@ -161,6 +161,24 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", ft.content_hash(norm).alias("hash"))
 
 
+def asof_section(spark: SparkSession, sf: str) -> DataFrame:
+    """Last item of the document that starts at or before each cue."""
+    items = (
+        table(spark, sf, "items").where("doc_id NOT IN ('', '-1') AND start_ms >= 0 AND item_id IS NOT NULL")
+        .selectExpr("try_cast(doc_id AS BIGINT) AS doc_id", "start_ms AS at_s", "item_id").distinct()
+    )
+    cues = (
+        table(spark, sf, "transcripts").where("utterances IS NOT NULL").select("doc_id", F.explode("utterances.start_ms").alias("at_s"))
+        .where("at_s IS NOT NULL").distinct()
+    )
+    both = items.withColumn("cue", F.lit(0)).unionByName(cues.withColumn("cue", F.lit(1)), allowMissingColumns=True)
+    before = Window.partitionBy("doc_id").orderBy("at_s", "cue", "item_id").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        both.withColumn("item_id", F.last("item_id", ignorenulls=True).over(before))
+        .where("cue = 1 AND item_id IS NOT NULL").select("doc_id", "at_s", "item_id")
+    )
+
+
 def index_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """One hash over the documents in id order, each by its id, text and
     latest transcript version; hashed by ranges of ids, then over the ranges."""
@@ -183,7 +201,7 @@ QUERIES |= {
     f.__name__: f
     for f in (
         rolling_dedup, utterance_merge, chunk_overlap, parent_windows, extraction_windows, long_unit_split,
-        quote_grounding, name_keys, garbled_units, content_hashes, index_fingerprint,
+        quote_grounding, name_keys, garbled_units, content_hashes, asof_section, index_fingerprint,
     )
 }
 _UNITS = "u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL)"

@@ -81,3 +81,14 @@ def test_fingerprint_sees_text_version_and_order(spark, tmp_path):
         spark.createDataFrame(t, TALKS).write.parquet(str(tmp_path / name / "transcripts.parquet"))
         got[name] = units.QUERIES["index_fingerprint"](spark, str(tmp_path / name)).collect()[0][0]
     assert got.pop("same") == got["base"] and len(set(got.values())) == 5
+
+
+def test_asof_section_answers_every_cue(spark, tmp_path):
+    spark.createDataFrame([(7, 1, [(s, s + 1, "x") for s in (0, 5, 10, 11, 99)]), (8, 1, [(3, 4, "x")])], TALKS).write.parquet(
+        str(tmp_path / "transcripts.parquet")
+    )
+    spark.createDataFrame([("a", "7", 5), ("b", "7", 10), ("c", "7", 10), ("d", "", 1), ("e", "7", -1)], "item_id string, doc_id string, start_ms long").write.parquet(
+        str(tmp_path / "items.parquet")
+    )
+    got = {tuple(r) for r in units.QUERIES["asof_section"](spark, str(tmp_path)).collect()}
+    assert got == {(7, 5, "a"), (7, 10, "c"), (7, 11, "c"), (7, 99, "c")}
