@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,11 +33,14 @@ BUDGET = 1
 ITEMS_PER_BLOCK = 20_000
 
 _WORD = re.compile(r"[a-z0-9']+")
+_KEEP = b"abcdefghijklmnopqrstuvwxyz0123456789'"
+_BLANKED = bytes(b if b in _KEEP else 32 for b in range(256))
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: str) -> str:
     """Words of the lower-cased text, one blank around each."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9']+", " "), F.lit(" "))
+    words = text.lower().encode("utf-8", "replace").translate(_BLANKED).split()
+    return f" {b' '.join(words).decode('ascii')} "
 
 
 def myers(pattern: list[str], text: list[str]) -> int:
@@ -107,10 +110,18 @@ class Matcher:
         return out
 
     def _verify(self, text: str, at: int, words: list[str], p: int) -> int:
-        reach = self.passage - self.piece + self.budget
-        left = text[:at].rsplit(" ", reach)[-reach:] if at else []
-        right = text[at + 1:].split(" ", self.passage + self.budget)[: self.passage + self.budget]
-        left, right = [w for w in left if w], [w for w in right if w]
+        first, last = at, at
+        for _ in range(self.passage - self.piece + self.budget):
+            first = text.rfind(" ", 0, first)
+            if first <= 0:
+                first = 0
+                break
+        for _ in range(self.passage + self.budget):
+            last = text.find(" ", last + 1)
+            if last < 0:
+                last = len(text)
+                break
+        left, right = text[first:at].split(), text[at:last].split()
         around, mid = left + right, len(left)
         best = self.passage
         for s in range(max(0, p + self.piece - self.passage), min(p, len(words) - self.passage) + 1):
@@ -139,7 +150,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     # an item has a piece at every offset; the automaton stays as large as one of
     # ITEMS_PER_BLOCK items cut piece by piece
     n_blocks = max(1, -(-items.count() * (PASSAGE // (BUDGET + 1)) // ITEMS_PER_BLOCK))
-    texts = documents.select("doc_id", canonical(F.col("text")).alias("words")).where(F.col("words").isNotNull())
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
     out = None
     for b in range(n_blocks):
         block = [
@@ -152,8 +163,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
             for pdf in batches:
                 rows = [
                     (doc, item, d)
-                    for doc, words in zip(pdf["doc_id"], pdf["words"])
-                    for item, d in matcher.distances(words).items()
+                    for doc, text in zip(pdf["doc_id"], pdf["text"])
+                    for item, d in matcher.distances(canonical(text)).items()
                 ]
                 yield pd.DataFrame(rows, columns=_HITS.names)
 
