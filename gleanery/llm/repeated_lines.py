@@ -1,12 +1,13 @@
 """Lines that come back page after page within one source.
 
-Every page gets a dense number inside its source (hash buckets of the source,
-ranked inside the bucket), so the pages of a line form a compressed bitmap per
-(source, bucket): only the buckets a line occurs in exist. Lines that differ
-in case, digits or spacing are variants; each variant has its own bitmap and
-the variants' bitmaps are united by bitwise OR. The exact cardinality of the
-union is compared with the threshold, and lines are deleted by looking up
-their page's bit.
+Every page gets a number inside its source, dense within the hash buckets that
+the shuffle spreads pages over, which also splits hot sources. The pages of a line are a compressed bitmap: 64-page words keyed by
+their number, of which only those with a page are stored, so a line on eight
+pages takes at most eight words and a line on all pages one word for 64 pages.
+Lines that differ in case, digits or spacing are variants; each variant has its
+own bitmap and the variants' bitmaps are united by OR of their words. The exact
+cardinality of the union is compared with the threshold, and lines are deleted
+by looking up their page's bit.
 
 Only line keys with at least ``min_pages`` occurrences reach the bitmap stage.
 Distinct pages can never exceed occurrences, so that filter loses nothing; it
@@ -30,9 +31,7 @@ from gleanery.llm.html_lines import line_key, visible_lines
 from gleanery.session import cut_lineage
 
 MIN_PAGES = 8
-#: Pages a bucket is planned for; a bitmap holds twice as many.
-PAGES_PER_BUCKET = 16384
-BITMAP_BITS = 32768
+WORD_BITS = 64
 
 _PARSED = T.StructType(
     [
@@ -62,12 +61,11 @@ def fetched_pages(web_pages: DataFrame) -> DataFrame:
             "raw_path",
         )
         .where(F.col("doc_id").isNotNull() & F.col("raw_path").isNotNull() & (F.col("source") != ""))
-        .distinct()
     )
 
 
 def page_lines(web_pages: DataFrame, web_raw: DataFrame) -> DataFrame:
-    """doc_id, source, bucket, pos and the page's hashed lines as one array.
+    """doc_id, source, word, bit and the page's hashed lines as one array.
 
     Pages are parsed where they are read; only line hashes are shuffled."""
     parsed = (
@@ -83,23 +81,25 @@ def page_lines(web_pages: DataFrame, web_raw: DataFrame) -> DataFrame:
             ).alias("lines"),
         )
     )
-    pages = fetched_pages(web_pages)
-    sizes = pages.groupBy("source").agg(
-        F.ceil(F.countDistinct("doc_id") / F.lit(PAGES_PER_BUCKET)).alias("n_buckets")
-    )
+    # pages that the join below brings to one partition share bitmap words, so
+    # the words of a line are mostly complete before they are shuffled
+    n_buckets = int(web_pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = (
-        pages.join(sizes, "source")
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), "n_buckets"))
-        .withColumn("pos", F.expr("dense_rank() OVER (PARTITION BY source, bucket ORDER BY doc_id) - 1"))
-        .withColumn("bucket", F.col("bucket") + F.col("n_buckets") * F.expr(f"pos div {BITMAP_BITS}"))
-        .withColumn("pos", F.col("pos") % F.lit(BITMAP_BITS))
-        .select("doc_id", "source", "raw_path", "bucket", F.col("pos").cast("int").alias("pos"))
+        fetched_pages(web_pages)
+        .groupBy("source", "doc_id").agg(F.collect_set("raw_path").alias("paths"))
+        .withColumn("bucket", F.pmod(F.hash(F.array_min("paths")), F.lit(n_buckets)))
+        .withColumn("pos", F.expr("row_number() OVER (PARTITION BY source, bucket ORDER BY doc_id) - 1"))
+        .select(
+            "doc_id", "source", F.explode("paths").alias("raw_path"),
+            (F.expr(f"pos div {WORD_BITS}") * n_buckets + F.col("bucket")).alias("word"),
+            (F.col("pos") % WORD_BITS).cast("int").alias("bit"),
+        )
     )
     return numbered.join(parsed, "raw_path").drop("raw_path")
 
 
 def line_bitmaps(lines: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """source, norm, bucket, bitmap of the lines on at least ``min_pages``
+    """source, norm, word, bits, n_pages of the lines on at least ``min_pages``
     distinct pages of the source."""
     frequent = (
         lines.groupBy("source", "norm")
@@ -109,28 +109,27 @@ def line_bitmaps(lines: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     )
     variants = (
         lines.join(frequent, ["source", "norm"], "left_semi")
-        .groupBy("source", "norm", "variant", "bucket")
-        .agg(F.expr("bitmap_construct_agg(pos)").alias("bm"))
+        .groupBy("source", "norm", "variant", "word")
+        .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
     )
-    united = variants.groupBy("source", "norm", "bucket").agg(F.expr("bitmap_or_agg(bm)").alias("bm"))
+    united = variants.groupBy("source", "norm", "word").agg(F.expr("bit_or(bits)").alias("bits"))
     enough = (
         united.groupBy("source", "norm")
-        .agg(F.sum(F.expr("bitmap_count(bm)")).alias("n_pages"))
+        .agg(F.sum(F.bit_count("bits")).alias("n_pages"))
         .where(F.col("n_pages") >= min_pages)
     )
-    return united.join(enough, ["source", "norm"]).select("source", "norm", "bucket", "bm", "n_pages")
+    return united.join(enough, ["source", "norm"])
 
 
 def repeated_lines(web_pages: DataFrame, web_raw: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """doc_id, line_no, source, n_pages of every repeated line occurrence."""
     lines = cut_lineage(page_lines(web_pages, web_raw)).select(
-        "doc_id", "source", "bucket", "pos", F.inline("lines")
+        "doc_id", "source", "word", "bit", F.inline("lines")
     )
     bitmaps = line_bitmaps(lines, min_pages)
-    bit = F.expr("shiftright(cast(conv(hex(substring(bm, pos div 8 + 1, 1)), 16, 10) as int), pos % 8) & 1")
     return (
-        lines.join(bitmaps, ["source", "norm", "bucket"])
-        .where(bit == 1)
+        lines.join(bitmaps, ["source", "norm", "word"])
+        .where(F.expr("shiftright(bits, bit) & 1L") == 1)
         .select("doc_id", "line_no", "source", "n_pages")
         .distinct()
     )
@@ -164,10 +163,10 @@ def pages_without_repeats(web_pages: DataFrame, web_raw: DataFrame, min_pages: i
         .groupBy("doc_id")
         .agg(F.collect_set("line_no").alias("drop_lines"))
     )
-    pages = fetched_pages(web_pages).select("doc_id", "raw_path").distinct()
+    # the line numbers travel to the page, so the raw text moves once at most
+    pages = fetched_pages(web_pages).select("doc_id", "raw_path").distinct().join(drop, "doc_id", "left")
     return (
-        pages.join(web_raw.select("raw_path", "html"), "raw_path")
-        .join(drop, "doc_id", "left")
+        web_raw.select("raw_path", "html").join(pages, "raw_path")
         .select("doc_id", "html", "drop_lines")
         .mapInPandas(_strip, _CLEAN)
     )
