@@ -8,14 +8,21 @@ over the candidate words of each line by Viterbi. A line whose best path
 changes a word is misread. Words broken at a line end are joined with or
 without their hyphen, whichever form the corpus prefers.
 
+Candidates are found by a skeleton that every confusion leaves as it is, so a
+word meets all words it may stand for, with any number of confusions, in one
+equi-join; the pair is then aligned. The probabilities of the confusions start
+equal and are estimated by Viterbi training: all doubtful lines are decoded,
+the confusions on their best paths counted, and the lines decoded again.
+
 Corpus counts are map-side combined; candidates meet their counts by joins on
 the words, and only lines with a doubtful word are decoded, so nothing grows
 in one task or on the driver but the edge pages of one book.
 
 Defined results: null or empty pages, null labels and null meta are no fault;
-redelivered books count once; a garbled or furniture line has no other fault;
-without a continuation (the next page is not kept) a broken word is judged by
-the forms of the corpus that begin with its first part.
+redelivered books count once; of different books of one path the one of
+greatest sha256, then of greatest content, counts; a garbled or furniture line
+has no other fault; without a continuation (the next page is not kept) a broken
+word is judged by the forms of the corpus that begin with its first part.
 """
 
 from __future__ import annotations
@@ -25,10 +32,10 @@ import math
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from itertools import combinations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,15 +49,21 @@ CONFUSIONS = (
     ("h", "li"), ("li", "h"),
 )
 LOG_KEEP = math.log(0.99)
-#: Log probability of one confusion.
-LOG_CONFUSED = math.log(4e-4)
+#: Probability of each confusion before any is counted, and the occurrences it
+#: stands for among those counted.
+CONFUSED, CONFUSED_WEIGHT = 4e-4, 20_000
+ROUNDS = 2
+#: Words whose letter likelihood a worker remembers.
+MEMO_WORDS = 200_000
+#: Similarity of two forms of one running line.
+LIKE = 0.86
+#: Doubtful words up to which they are sent to the lines.
+BROADCAST_WORDS = 200_000
 #: A candidate must be this many times as frequent as the word as read.
 FREQUENT = 5
 BIGRAM_SHARE = 0.7
-#: Mean letter-pair bits below which a line is no text, and the letter pairs a
-#: corpus must have for that to be judged.
+#: Mean letter-pair bits below which a line is no text.
 GARBLED_BITS = -5.0
-LETTERS_NEEDED = 5000
 
 HYPHENS = "-‐‑¬­"
 _TRIM = re.compile(r"^[\s·•|/\[\](){}<>*~_.,:;—–\-]+|[\s·•|/\[\](){}<>*~_.,:;—–\-]+$")
@@ -71,19 +84,28 @@ class Letters:
         after: dict[str, int] = {}
         for (a, _), n in counts.items():
             after[a] = after.get(a, 0) + n
-        self.known = sum(counts.values()) >= LETTERS_NEEDED
         self.bits = {(a, b): math.log2((n + 0.5) / (after[a] + 14)) for (a, b), n in counts.items()}
         self.unseen = {a: math.log2(0.5 / (n + 14)) for a, n in after.items()}
+        self.memo: dict[str, float] = {}
+
+    def word_bits(self, word: str) -> float:
+        w = f" {word} "
+        return sum(self.bits.get((a, b), self.unseen.get(a, -5.0)) for a, b in zip(w, w[1:]))
 
     def mean_bits(self, line: str) -> float:
         """Mean log probability of the line's letter pairs, 0 for short lines."""
-        total, n = 0.0, 0
-        for w in re.findall(r"[a-z]+", line.lower()):
-            w = f" {w} "
-            for a, b in zip(w, w[1:]):
-                total += self.bits.get((a, b), self.unseen.get(a, -5.0))
-                n += 1
-        return total / n if n >= 8 else 0.0
+        words = re.findall(r"[a-z]+", line.lower())
+        n = sum(map(len, words)) + len(words)
+        if n < 8:
+            return 0.0
+        total = 0.0
+        for w in words:
+            if w not in self.memo:
+                if len(self.memo) >= MEMO_WORDS:
+                    self.memo.clear()
+                self.memo[w] = self.word_bits(w)
+            total += self.memo[w]
+        return total / n
 
 
 def letter_model(pdf_facts: DataFrame) -> Letters:
@@ -101,7 +123,7 @@ def letter_model(pdf_facts: DataFrame) -> Letters:
 def is_garbled(line: str, letters_of: Letters | None = None) -> bool:
     """A line most of whose signs belong to no text, or whose letters follow
     each other as in no text of the corpus."""
-    if letters_of is not None and letters_of.known and letters_of.mean_bits(line) < GARBLED_BITS:
+    if letters_of is not None and letters_of.mean_bits(line) < GARBLED_BITS:
         return True
     signs = [c for c in line if not c.isspace()]
     if len(signs) < 4:
@@ -133,14 +155,48 @@ def _core(text: str) -> str:
     return re.sub(r"[^a-z ]+", "", t.lower().translate(_LOOKS).replace("vv", "w").replace("rn", "m")).strip()
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    v = full
+    for c in b:
+        u = v & places.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
 def _like(a: str, b: str) -> bool:
+    """Forms of one line: matching blocks of at least ``LIKE`` of both. Blocks
+    are never longer than the common subsequence, which is found faster."""
     if not a or not b:
         return False
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 0.2 * max(len(a), len(b)):
+    if abs(len(a) - len(b)) > 0.2 * max(len(a), len(b)) or 2 * _common(a, b) < LIKE * (len(a) + len(b)):
         return False
-    return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.86
+    return SequenceMatcher(None, a, b, autojunk=False).ratio() >= LIKE
+
+
+class _Alike:
+    """Which of a book's strings are forms of one line."""
+
+    def __init__(self, strings: list[str]):
+        self.strings = list(dict.fromkeys(strings))
+        self.size = np.array([len(s) for s in self.strings])
+        letters = "abcdefghijklmnopqrstuvwxyz "
+        self.counts = np.array([[s.count(c) for c in letters] for s in self.strings]).reshape(-1, len(letters))
+        self.found: dict[str, list[str]] = {}
+
+    def of(self, a: str) -> list[str]:
+        if a not in self.found:
+            mine = np.array([a.count(c) for c in "abcdefghijklmnopqrstuvwxyz "])
+            shared = np.minimum(self.counts, mine).sum(axis=1)
+            near = np.flatnonzero(2 * shared >= LIKE * (self.size + len(a)))
+            self.found[a] = [self.strings[i] for i in near if _like(a, self.strings[i])]
+        return self.found[a]
 
 
 def _parts(line: str) -> list[str]:
@@ -202,16 +258,21 @@ class Book:
                     self.kind[p, i] = "furniture"
                 else:
                     edge[p, i] = _parts(self.pages[p][i])
-        for (p, i), parts in edge.items():
-            if any(_like(a, t) for a in parts for t in self.titles):
-                self.kind[p, i] = "furniture"
+        where: dict[str, list[tuple[int, int]]] = {}
+        for spot, parts in edge.items():
+            for a in parts:
+                where.setdefault(a, []).append(spot)
+        alike = _Alike(list(where))
+        for t in self.titles:
+            for a in alike.of(t):
+                for spot in where[a]:
+                    self.kind[spot] = "furniture"
         for (p, i), parts in edge.items():
             if self.kind[p, i] == "furniture":
                 continue
             twin = any(
                 q != p and (self.kind[q, j] == "furniture" or not _END_MARK.search(self.pages[q][j].strip()))
-                and any(_like(a, b) for a in parts for b in others)
-                for (q, j), others in edge.items()
+                for a in parts for b in alike.of(a) for q, j in where[b]
             )
             text = self.pages[p][i].strip()
             rows = [j for j, t in enumerate(self.pages[p]) if (t or "").strip()]
@@ -306,12 +367,17 @@ def _as_dict(value) -> dict:
     return dict(value) if value is not None else {}
 
 
+def _maps() -> list[Column]:
+    """Hashable forms of a book's maps, for a fixed choice between books."""
+    return [F.sort_array(F.map_entries(c)) for c in ("edge_pages", "page_labels")] + [F.col("meta")]
+
+
 def book_lines(pdf_facts: DataFrame) -> DataFrame:
     """Every line of the edge pages with its kind and tokens."""
     books = (
         pdf_facts.where(F.col("path").isNotNull() & F.col("edge_pages").isNotNull())
         .groupBy("path")
-        .agg(F.max_by(F.struct("edge_pages", "page_labels", "meta"), F.coalesce("sha256", F.lit(""))).alias("b"))
+        .agg(F.max_by(F.struct("edge_pages", "page_labels", "meta"), F.struct(F.coalesce("sha256", F.lit("")), F.xxhash64(*_maps()))).alias("b"))
         .select("path", "b.edge_pages", "b.page_labels", "b.meta")
     )
     letters = letter_model(pdf_facts)
@@ -358,7 +424,7 @@ def pair_counts(lines: DataFrame) -> DataFrame:
 def broken_words(lines: DataFrame) -> DataFrame:
     """Words cut by a line end: their pieces and neighbours."""
     cut = lines.where("broken AND size(tokens) > 0").select(
-        "path", "page_no", "line_no", "next_page", "next_line",
+        "line_id", "path", "page_no", "line_no", "next_page", "next_line",
         F.element_at("tokens", -1).alias("head"),
         F.try_element_at("tokens", F.lit(-2)).alias("before"),
     )
@@ -396,54 +462,88 @@ def hyphen_faults(broken: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def confusion_variants(word: str, most: int = 2) -> dict[str, int]:
-    """Words that could have been read as ``word``, with the number of confusions."""
-    sites = [
-        (i, true, len(read)) for true, read in CONFUSIONS
-        for i in range(len(word) - len(read) + 1) if word.startswith(read, i)
-    ]
-    out: dict[str, int] = {}
-    for k in range(1, most + 1):
-        for chosen in combinations(sites, k):
-            chosen = sorted(chosen)
-            if any(a[0] + a[2] > b[0] for a, b in zip(chosen, chosen[1:])):
-                continue
-            parts, at = [], 0
-            for i, true, n in chosen:
-                parts += [word[at:i], true]
-                at = i + n
-            new = "".join(parts) + word[at:]
-            if new != word:
-                out.setdefault(new, k)
-    return out
+def skeleton(word: Column) -> Column:
+    """What a word keeps under every confusion: look-alikes in one sign, letters
+    that are read as two spelled as the two."""
+    w = F.regexp_replace(word, "[uhb6]", "11")
+    for letter, pair in (("d", "e1"), ("w", "vv"), ("m", "rr")):
+        w = F.replace(w, F.lit(letter), F.lit(pair))
+    w = F.translate(w, "ilcf05924n", "11etosgzar")
+    return F.regexp_replace(w, "r1+", "r")
 
 
-def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for w, n in zip(pdf["word"], pdf["n"]):
-            if len(w) >= 2 and not w.isdigit() and len(w) <= 40:
-                rows += [(w, n, v, k) for v, k in confusion_variants(w).items()]
-        yield pd.DataFrame(rows, columns=["word", "n_read", "cand", "edits"])
+def align(true: str, read: str, costs: dict[tuple[str, str], float]) -> tuple[float, list[int]] | None:
+    """Cheapest confusions (places in ``CONFUSIONS``) that read ``true`` as ``read``."""
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    for i in range(len(true) + 1):
+        for j in range(max(0, i - len(true) // 2 - 2), min(len(read), i + len(true) + 2) + 1):
+            here = best.get((i, j))
+            if here is None:
+                continue
+            steps = [(i + len(t), j + len(r), n) for n, (t, r) in enumerate(CONFUSIONS) if true.startswith(t, i) and read.startswith(r, j)]
+            if i < len(true) and j < len(read) and true[i] == read[j]:
+                steps.append((i + 1, j + 1, None))
+            for x, y, n in steps:
+                cost = here[0] + (costs[CONFUSIONS[n]] if n is not None else 0.0)
+                if (x, y) not in best or cost < best[x, y][0]:
+                    best[x, y] = (cost, here[1] + ((n,) if n is not None else ()))
+    found = best.get((len(true), len(read)))
+    return (found[0], list(found[1])) if found else None
 
 
 def candidates(words: DataFrame, read: DataFrame) -> DataFrame:
-    """word, n_read, cands: frequent words each word as read may stand for."""
-    known = words.where("n > 2").select(F.col("word").alias("cand"), F.col("n").alias("n_cand"))
+    """word, n_read, cand, n_cand, uses: the words that each word as read may
+    stand for, ``FREQUENT`` times as frequent, and the confusions between them."""
+    flat = {c: 1.0 for c in CONFUSIONS}
+
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            uses = [align(c, w, flat) for c, w in zip(pdf["cand"], pdf["word"])]
+            pdf["uses"] = [u[1] if u else None for u in uses]
+            yield pdf[pdf["uses"].notna()]
+
+    doubted = read.where((F.length("word") >= 2) & ~F.col("word").rlike(r"^\d+$")).select("word", F.col("n").alias("n_read"), skeleton(F.col("word")).alias("s"))
+    known = words.where(F.col("n") >= FREQUENT).select(F.col("word").alias("cand"), F.col("n").alias("n_cand"), skeleton(F.col("word")).alias("s"))
     return (
-        read.mapInPandas(_variants, "word string, n_read long, cand string, edits int")
-        .join(known, "cand")
-        .where(F.col("n_cand") >= FREQUENT * F.greatest("n_read", F.lit(1)))
-        .groupBy("word", "n_read")
-        .agg(F.collect_list(F.struct("cand", "edits", "n_cand")).alias("cands"))
+        doubted.join(known, "s")
+        .where((F.col("word") != F.col("cand")) & (F.col("n_cand") >= FREQUENT * F.greatest("n_read", F.lit(1))))
+        .select("word", "n_read", "cand", "n_cand")
+        .mapInPandas(aligned, "word string, n_read long, cand string, n_cand long, uses array<int>")
     )
 
 
+def sign_counts(words: DataFrame) -> dict[str, float]:
+    """Occurrences over the corpus of every sign that may be misread."""
+    signs = sorted({t for t, _ in CONFUSIONS})
+    seen = words.agg(
+        *[
+            F.sum(F.col("n") * (F.length("word") - F.length(F.replace("word", F.lit(t), F.lit("")))) / len(t)).alias(f"s{i}")
+            for i, t in enumerate(signs)
+        ]
+    ).first()
+    return {t: float(seen[f"s{i}"] or 0) for i, t in enumerate(signs)}
+
+
+def confusion_costs(decoded: DataFrame, pairs: DataFrame, occurs: dict[str, float]) -> list[float]:
+    """Log probability of each confusion from the best paths, in the order of
+    ``CONFUSIONS``; one row per confusion leaves Spark."""
+    fixes = decoded.groupBy("word", "fixed").agg(F.count(F.lit(1)).alias("n_fixed"))
+    used = (
+        fixes.join(pairs.select("word", F.col("cand").alias("fixed"), "uses"), ["word", "fixed"])
+        .select(F.explode("uses").alias("use"), "n_fixed").groupBy("use").agg(F.sum("n_fixed").alias("n"))
+    )
+    n_used = {r["use"]: float(r["n"]) for r in used.collect()}
+    return [
+        math.log((n_used.get(i, 0.0) + CONFUSED * CONFUSED_WEIGHT) / (max(occurs[t], n_used.get(i, 0.0)) + CONFUSED_WEIGHT))
+        for i, (t, _) in enumerate(CONFUSIONS)
+    ]
+
+
 def _lattices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Word pairs whose counts a line's lattice needs."""
     for pdf in batches:
         rows = []
-        for key, tokens, doubts in zip(pdf["line"], pdf["tokens"], pdf["doubts"]):
+        for key, tokens, doubts in zip(pdf["line_id"], pdf["tokens"], pdf["doubts"]):
             options = {d["pos"]: [c["cand"] for c in d["cands"]] for d in doubts}
             for i in range(len(tokens) - 1):
                 if i in options or i + 1 in options:
@@ -451,11 +551,11 @@ def _lattices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         (key, a, b)
                         for a in [tokens[i], *options.get(i, [])] for b in [tokens[i + 1], *options.get(i + 1, [])]
                     ]
-        yield pd.DataFrame(rows, columns=["line", "a", "b"]).drop_duplicates()
+        yield pd.DataFrame(rows, columns=["line_id", "a", "b"]).drop_duplicates()
 
 
-def viterbi(tokens, doubts, pairs: dict, total: float) -> list[str]:
-    """Most likely words of a line."""
+def viterbi(tokens, doubts, pairs: dict, total: float, costs: list[float]) -> list[str]:
+    """Most likely words of a line, given the log probability of each confusion."""
     options = {d["pos"]: d for d in doubts}
 
     def states(i):
@@ -463,7 +563,7 @@ def viterbi(tokens, doubts, pairs: dict, total: float) -> list[str]:
         if d is None:
             return [(tokens[i], 0.0, None)]
         own = [(tokens[i], LOG_KEEP, max(d["n_read"] - 1, 0) + 0.05)]
-        return own + [(c["cand"], c["edits"] * LOG_CONFUSED, c["n_cand"]) for c in d["cands"]]
+        return own + [(c["cand"], sum(costs[u] for u in c["uses"]), c["n_cand"]) for c in d["cands"]]
 
     def emit(prev, word, n):
         base = (n if n is not None else 1.0) / total
@@ -484,73 +584,82 @@ def viterbi(tokens, doubts, pairs: dict, total: float) -> list[str]:
     return max(best.values(), key=lambda x: x[0])[1]
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for key, tokens, doubts, pairs, total in zip(
-            pdf["line"], pdf["tokens"], pdf["doubts"], pdf["pairs"], pdf["total"]
-        ):
-            # the pairs of a doubtful word as read are no evidence for it: the
-            # same misreading in the same phrase would vouch for itself
-            read = {d["pos"] for d in doubts}
-            own = {
-                (tokens[i], tokens[i + 1]) for i in range(len(tokens) - 1) if i in read or i + 1 in read
-            }
-            counts = {
-                (x["a"], x["b"]): (x["n_ab"], max(x["n_a"], 1))
-                for x in (pairs if pairs is not None else []) if (x["a"], x["b"]) not in own
-            }
-            way = viterbi(list(tokens), list(doubts), counts, float(total))
-            rows += [(key, i, a, b) for i, (a, b) in enumerate(zip(tokens, way)) if a != b]
-        yield pd.DataFrame(rows, columns=["line", "pos", "word", "fixed"])
+def _decode(lattices: DataFrame, costs: list[float]) -> DataFrame:
+    """line_id, pos, word, fixed of the words that the best paths change."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, tokens, doubts, pairs, total in zip(
+                pdf["line_id"], pdf["tokens"], pdf["doubts"], pdf["pairs"], pdf["total"]
+            ):
+                # the pairs of a doubtful word as read are no evidence for it: the
+                # same misreading in the same phrase would vouch for itself
+                read = {d["pos"] for d in doubts}
+                own = {
+                    (tokens[i], tokens[i + 1]) for i in range(len(tokens) - 1) if i in read or i + 1 in read
+                }
+                counts = {
+                    (x["a"], x["b"]): (x["n_ab"], max(x["n_a"], 1))
+                    for x in (pairs if pairs is not None else []) if (x["a"], x["b"]) not in own
+                }
+                way = viterbi(list(tokens), list(doubts), counts, float(total), costs)
+                rows += [(key, i, a, b) for i, (a, b) in enumerate(zip(tokens, way)) if a != b]
+            yield pd.DataFrame(rows, columns=["line_id", "pos", "word", "fixed"])
+
+    return cut_lineage(lattices.mapInPandas(decode, "line_id long, pos int, word string, fixed string"))
 
 
 def misread_words(lines: DataFrame, broken: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
     """path, page_no, line_no, word, fixed of the words read wrongly."""
-    texts = lines.where("kind = 'body'").select(
-        F.struct("path", "page_no", "line_no", F.lit(False).alias("is_join")).alias("line"), _whole_tokens().alias("tokens")
-    )
+    texts = lines.where("kind = 'body'").select("line_id", _whole_tokens().alias("tokens"), F.lit(None).cast("int").alias("only"))
+    # the join of a broken word is a line of its own, of negative number
     joins = broken.where("tail IS NOT NULL AND NOT own_hyphen").select(
-        F.struct("path", "page_no", "line_no", F.lit(True).alias("is_join")).alias("line"),
+        (-F.col("line_id") - 1).alias("line_id"),
         F.filter(F.array("before", "joined", "after"), lambda w: w.isNotNull()).alias("tokens"),
         F.when(F.col("before").isNull(), 0).otherwise(1).alias("only"),
     )
-    every = texts.withColumn("only", F.lit(None).cast("int")).unionByName(joins).where(F.size("tokens") > 0)
+    every = texts.unionByName(joins).where(F.size("tokens") > 0)
     read = words.select("word", "n").unionByName(
         broken.where("tail IS NOT NULL AND n_joined IS NULL AND NOT own_hyphen").select(F.col("joined").alias("word"), F.lit(0).cast("long").alias("n")).distinct()
     )
-    cand = candidates(words, read)
+    pairs_read = cut_lineage(candidates(words, read))
+    cand = pairs_read.groupBy("word").agg(
+        F.first("n_read").alias("n_read"), F.array_sort(F.collect_list(F.struct("cand", "uses", "n_cand"))).alias("cands")
+    )
+    few = pairs_read.count() <= BROADCAST_WORDS
+    spots = every.select("line_id", "only", F.posexplode("tokens").alias("pos", "word"), *["tokens"] * few)
     doubts = (
-        every.select("line", "only", F.posexplode("tokens").alias("pos", "word"))
-        .where(F.col("only").isNull() | (F.col("only") == F.col("pos")))
-        .join(cand, "word")
-        .groupBy("line")
-        .agg(F.collect_list(F.struct("pos", "n_read", "cands")).alias("doubts"))
+        spots.where(F.col("only").isNull() | (F.col("only") == F.col("pos")))
+        .join(F.broadcast(cand) if few else cand, "word")
+        .groupBy("line_id")
+        .agg(F.collect_list(F.struct("pos", "n_read", "cands")).alias("doubts"), *[F.first("tokens").alias("tokens")] * few)
     )
-    doubtful = cut_lineage(every.select("line", "tokens").join(doubts, "line").withColumn("line", F.to_json("line")))
-    needed = doubtful.mapInPandas(_lattices, "line string, a string, b string")
+    doubtful = cut_lineage(doubts if few else every.select("line_id", "tokens").join(doubts, "line_id"))
+    needed = doubtful.mapInPandas(_lattices, "line_id long, a string, b string")
+    # the pairs of a line's lattice, spread by both words: no word is hot
+    counted = pairs.withColumnRenamed("n", "n_ab").join(needed.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    firsts = words.select(F.col("word").alias("a"), F.col("n").alias("n_a"))
     known = (
-        needed.join(pairs.withColumnRenamed("n", "n_ab"), ["a", "b"])
-        .join(words.select(F.col("word").alias("a"), F.col("n").alias("n_a")), "a")
-        .groupBy("line")
+        needed.join(_with_first(counted, firsts), ["a", "b"])
+        .groupBy("line_id")
         .agg(F.collect_list(F.struct("a", "b", "n_ab", "n_a")).alias("pairs"))
     )
     total = words.agg(F.sum("n").cast("double").alias("t"))
-    decoded = (
-        doubtful.join(known, "line", "left")
+    lattices = cut_lineage(
+        doubtful.join(known, "line_id", "left")
         .withColumn("total", F.coalesce(total.scalar(), F.lit(1.0)))
-        .select("line", "tokens", "doubts", "pairs", "total")
-        .mapInPandas(_decode, "line string, pos int, word string, fixed string")
-        .select(
-            F.from_json("line", "struct<path string, page_no int, line_no int, is_join boolean>").alias("l"),
-            "word", "fixed",
-        )
-        .select("l.*", "word", "fixed")
+        .select("line_id", "tokens", "doubts", "pairs", "total")
     )
+    occurs = sign_counts(words)
+    decoded = _decode(lattices, [math.log(CONFUSED)] * len(CONFUSIONS))
+    for _ in range(ROUNDS - 1):
+        decoded = _decode(lattices, confusion_costs(decoded, pairs_read, occurs))
+    own = lines.select("line_id", "path", "page_no", "line_no")
     same = F.expr("size(filter(sequence(1, least(length(word), length(fixed))), i -> substring(word, 1, i) = substring(fixed, 1, i)))")
-    cut = broken.select("path", "page_no", "line_no", "next_page", "next_line", F.length("head").alias("head_size"))
+    cut = broken.select("line_id", "path", "page_no", "line_no", "next_page", "next_line", F.length("head").alias("head_size"))
     joined = (
-        decoded.where("is_join").join(cut, ["path", "page_no", "line_no"])
+        decoded.where("line_id < 0").withColumn("line_id", -F.col("line_id") - 1).join(cut, "line_id")
         .withColumn("later", same >= F.col("head_size"))
         .select(
             "path",
@@ -561,18 +670,25 @@ def misread_words(lines: DataFrame, broken: DataFrame, words: DataFrame, pairs:
     )
     # digits inside a word that no known word explains
     mixed = (
-        texts.select("line.*", F.explode("tokens").alias("word"))
+        texts.select("line_id", F.explode("tokens").alias("word"))
         .where(F.col("word").rlike(r"[a-z][0-9]+[a-z]|^[a-z]{2,}[0-9]$|^[0-9][a-z]{3,}$") & ~F.col("word").rlike(r"^\d+(st|nd|rd|th|ers?|e)$"))
-        .select("path", "page_no", "line_no", "word", F.translate("word", "015896", "olsbgb").alias("fixed"))
-    )
-    plain = decoded.where("NOT is_join").select("path", "page_no", "line_no", "word", "fixed")
-    return plain.unionByName(joined).unionByName(
-        mixed.join(plain.select("path", "page_no", "line_no", "word"), ["path", "page_no", "line_no", "word"], "left_anti")
+        .select("line_id", "word", F.translate("word", "015896", "olsbgb").alias("fixed"))
     )
+    plain = decoded.where("line_id >= 0").select("line_id", "word", "fixed")
+    both = plain.unionByName(mixed.join(plain.select("line_id", "word"), ["line_id", "word"], "left_anti"))
+    return both.join(own, "line_id").select("path", "page_no", "line_no", "word", "fixed").unionByName(joined)
+
+
+def _with_first(counted: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Adds the count of the pair's first word. A frequent word begins many
+    pairs, so they are folded into one row per word and salt before the join."""
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(32)))
+    folded = salted.groupBy("a", "salt").agg(F.collect_list(F.struct("b", "n_ab")).alias("bs"))
+    return folded.join(firsts, "a").select("a", "n_a", F.inline("bs"))
 
 
 def _analysis(pdf_facts: DataFrame):
-    lines = cut_lineage(book_lines(pdf_facts))
+    lines = cut_lineage(book_lines(pdf_facts)).withColumn("line_id", F.monotonically_increasing_id())
     words, pairs = cut_lineage(word_counts(lines)), pair_counts(lines)
     broken = cut_lineage(hyphen_faults(broken_words(lines), words))
     return lines, broken, misread_words(lines, broken, words, pairs)

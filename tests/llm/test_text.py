@@ -113,6 +113,18 @@ def test_unmarked_and_bare_marked_talks_start_with_the_first_billed(spark):
 
 def test_cue_order_drops_conflicting_delivery():
     assert speaker_turns.cue_order([(5, 6, "b"), (1, 2, "a"), (5, 6, "b"), (5, 6, "c")]) == [1, 0, 3]
+    # together at 5: delivered a b c, ended b c a; the weaker edges of the cycle go
+    cues = [(5, 9, "a"), (5, 6, "b"), (5, 7, "c"), (1, 2, "x")]
+    assert speaker_turns.cue_order(cues, "auto") == [3, 1, 2, 0]
+    assert speaker_turns.cue_order(cues, " Human ") == [3, 0, 1, 2]
+
+
+def test_labels_in_front_of_words_that_look_like_labels():
+    names = speaker_turns.name_index(["Imka Gorebemire", "Emrys Jorebelok"])
+    assert speaker_turns.split_cue("(00:00:40) GOREBEMIRE - My point: it costs", names, 2, 1) == (0, False, "My point: it costs")
+    assert speaker_turns.split_cue("Remember: - it costs", names, 2, 1) == (None, False, "Remember: - it costs")
+    assert speaker_turns.split_cue(">> Emrys: <i>sighs</i>", names, 2, 1) == (1, True, "")
+    assert speaker_turns.split_cue("It is <i>very</i> odd", names, 2, 1) == (None, False, "It is very odd")
 
 
 # ---- scanned pages
@@ -136,11 +148,48 @@ def test_line_kinds_of_a_book():
 
 
 def test_confusions_and_decoding():
-    assert {"the", "modern"} <= set(scan_noise.confusion_variants("fhe")) | set(scan_noise.confusion_variants("moclern"))
-    doubts = [{"pos": 1, "n_read": 1, "cands": [{"cand": "the", "edits": 1, "n_cand": 50}]}]
-    assert scan_noise.viterbi(["in", "fhe", "end"], doubts, {("in", "the"): (20, 40)}, 1000.0) == ["in", "the", "end"]
-    rare = [{"pos": 0, "n_read": 30, "cands": [{"cand": "the", "edits": 1, "n_cand": 150}]}]
-    assert scan_noise.viterbi(["fhe"], rare, {}, 1000.0) == ["fhe"]
+    flat = {c: 1.0 for c in scan_noise.CONFUSIONS}
+    assert scan_noise.align("the", "fhe", flat)[0] == 1 and scan_noise.align("modern", "rnoclern", flat)[0] == 2
+    assert scan_noise.align("the", "she", flat) is None
+    doubts = [{"pos": 1, "n_read": 1, "cands": [{"cand": "the", "uses": scan_noise.align("the", "fhe", flat)[1], "n_cand": 50}]}]
+    costs = [-7.8] * len(flat)
+    assert scan_noise.viterbi(["in", "fhe", "end"], doubts, {("in", "the"): (20, 40)}, 1000.0, costs) == ["in", "the", "end"]
+    rare = [{"pos": 0, "n_read": 30, "cands": [{"cand": "the", "uses": [1], "n_cand": 150}]}]
+    assert scan_noise.viterbi(["fhe"], rare, {}, 1000.0, costs) == ["fhe"]
+
+
+def test_every_confusion_keeps_the_skeleton(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(300):
+        true = "".join(rnd.choice("etolishgbzandumwrcfp0159") for _ in range(rnd.randint(1, 12)))
+        read, at = "", 0
+        while at < len(true):  # several confusions in one word
+            fits = [(t, r) for t, r in scan_noise.CONFUSIONS if true.startswith(t, at)]
+            if fits and rnd.random() < 0.5:
+                t, r = rnd.choice(fits)
+                read, at = read + r, at + len(t)
+            else:
+                read, at = read + true[at], at + 1
+        rows.append((true, read))
+        assert scan_noise.align(true, read, {c: 1.0 for c in scan_noise.CONFUSIONS}) is not None
+    got = spark.createDataFrame(rows, "t string, r string").select(
+        scan_noise.skeleton(F.col("t")).alias("a"), scan_noise.skeleton(F.col("r")).alias("b")
+    ).collect()
+    assert all(r["a"] == r["b"] for r in got)
+
+
+def test_common_subsequence_bounds_matching_blocks():
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        a = "".join(rnd.choice("abcd ") for _ in range(rnd.randint(1, 25)))
+        b = "".join(rnd.choice("abcd ") for _ in range(rnd.randint(1, 25)))
+        blocks = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        assert blocks <= scan_noise._common(a, b) <= min(len(a), len(b))
 
 
 FACTS = "path string, sha256 string, edge_pages map<int, array<string>>, page_labels map<int, string>, meta string"
