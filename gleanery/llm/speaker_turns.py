@@ -1,21 +1,26 @@
 """Clean, ordered speaker turns from captions.
 
-The cues of one transcript are nodes of a precedence graph. Timing gives edges
-from earlier to later starts; dialogue (the delivered list) gives edges from
-each cue to the next one. A dialogue edge that runs against the clock is in
-conflict and is dropped, as timing outranks delivery. The graph that is left
-has no cycle and is ordered topologically, earliest start first, delivery
-deciding between equal starts. Repeated cues are one node.
+The distinct cues of a transcript are nodes of a precedence graph. Its edges
+have weights: the clock (a cue that starts earlier comes first) outranks
+everything; between cues that start together the cue edges (the one that ends
+first comes first) and the dialogue edges (the order of delivery) decide, and
+which of the two is stronger depends on the kind of captions: people deliver
+lines in the order of the dialogue, machines by their cues. Edges are taken
+from the strongest down, and an edge that would close a cycle, the weakest of
+it, is dropped; the graph that is left is ordered topologically. Repeated cues
+are one node.
 
 Each cue is then split into clock times, change marks, a label and clean text.
 Labels are matched with the billed names in their usual spellings; numbers
-count in billing order. A cue without words after cleaning changes nothing.
+count in billing order. A cue without words after cleaning changes nothing; a
+word set in italics that is all of its cue is a sound note.
 
 Defined results: null or empty utterances and null texts give no turn; without
 billed names there is no turn; unlabelled openings belong to the first billed;
 a bare change mark passes to the other of two speakers, and with more than two
 back to the previous speaker (else the next billed); of several versions of a
-transcript the highest counts.
+transcript the highest counts, of several contents of one version the one of
+greatest hash.
 """
 
 from __future__ import annotations
@@ -39,44 +44,74 @@ _FILLER = re.compile(
 _MARK = re.compile(r"^\s*(?:>>+|»+|--?(?=\s)|—)\s*")
 _NUMBERED = re.compile(r"^(?:speaker|spkr?|s|voice|person)\s*#?\s*(\d{1,2})$", re.I)
 _TITLE = re.compile(r"^(?:dr|mr|mrs|ms|prof|professor|sir)\.?\s+", re.I)
-_LABEL = re.compile(
-    r"^\s*(?:\[(?P<square>[^\[\]]{1,60})\]\s*:?|\((?P<round>[^()]{1,60})\)\s*:?|(?P<colon>[^:\[\]()<>]{1,60}?)\s*:(?=\s|$)"
-    r"|(?P<dash>[^:\[\]()<>\-–—]{1,60}?)\s+[-–—](?=\s|$))\s*"
-)
+#: Forms of a label; the first that names a speaker counts.
+_LABELS = [
+    re.compile(r"^\s*" + form + r"\s*")
+    for form in (
+        r"\[([^\[\]]{1,60})\]\s*:?", r"\(([^()]{1,60})\)\s*:?", r"([^:\[\]()<>]{1,60}?)\s*:(?=\s|$)",
+        r"([^:\[\]()<>\-–—]{1,60}?)\s+[-–—](?=\s|$)",
+    )
+]
+_ITALIC_CUE = re.compile(r"^\s*<(i|em)>[^<>]*</\1>\s*$", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w")
 
 
-def cue_order(cues: list[tuple[int, int, str]]) -> list[int]:
+def cue_order(cues: list[tuple[int, int, str]], kind: str | None = None) -> list[int]:
     """Positions of the distinct cues (start, end, text) in dialogue order."""
     first: dict[tuple, int] = {}
     for i, cue in enumerate(cues):
         first.setdefault(cue, i)
-    nodes = sorted(first.values())
+    together: dict[int, list[int]] = {}
+    for i in first.values():
+        together.setdefault(cues[i][0], []).append(i)
+    # the clock's edges join every cue of a start to every cue of the next one,
+    # so each start is ordered on its own
+    return [i for start in sorted(together) for i in _resolve(sorted(together[start]), cues, kind)]
+
+
+def _resolve(nodes: list[int], cues: list[tuple[int, int, str]], kind: str | None) -> list[int]:
+    """Topological order of cues that start together."""
+    if len(nodes) < 2:
+        return nodes
+    dialogue, cue = (2, 1) if (kind or "").strip().lower() == "human" else (1, 2)
+    edges = [(dialogue, a, b) for a, b in zip(nodes, nodes[1:])]
+    by_end = sorted(nodes, key=lambda i: (cues[i][1], i))
+    edges += [(cue, a, b) for a, b in zip(by_end, by_end[1:]) if cues[a][1] < cues[b][1]]
     after: dict[int, set[int]] = {i: set() for i in nodes}
-    for a, b in zip(nodes, nodes[1:]):  # dialogue, unless the clock says otherwise
-        if cues[a][0] <= cues[b][0]:
+    for _, a, b in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
+        if not _reaches(after, b, a):
             after[a].add(b)
-    timed = sorted(nodes, key=lambda i: (cues[i][0], i))
-    for a, b in zip(timed, timed[1:]):
-        after[a].add(b)
     waits = {i: 0 for i in nodes}
     for targets in after.values():
         for b in targets:
             waits[b] += 1
-    ready = [(cues[i][0], i) for i in nodes if not waits[i]]
+    ready = [i for i in nodes if not waits[i]]
     heapq.heapify(ready)
     out = []
     while ready:
-        _, i = heapq.heappop(ready)
+        i = heapq.heappop(ready)
         out.append(i)
         for b in after[i]:
             waits[b] -= 1
             if not waits[b]:
-                heapq.heappush(ready, (cues[b][0], b))
+                heapq.heappush(ready, b)
     return out
 
 
+def _reaches(after: dict[int, set[int]], a: int, b: int) -> bool:
+    """Whether a path leads from a to b."""
+    seen, stack = {a}, [a]
+    while stack:
+        x = stack.pop()
+        if x == b:
+            return True
+        new = after[x] - seen
+        seen |= new
+        stack += new
+    return False
+
+
 def _flat(name: str) -> str:
     return _SPACE.sub(" ", name.replace(".", ". ").replace(" ,", ",")).strip().lower()
 
@@ -98,31 +133,41 @@ def name_index(speakers: list[str]) -> dict[str, int]:
     return {f: next(iter(s)) for f, s in found.items() if len(s) == 1}
 
 
+def _named(label: str, names: dict[str, int], billed: int, base: int) -> int | None:
+    """Billed place of the speaker a label names."""
+    number = _NUMBERED.match(label.strip())
+    if number:
+        who = int(number.group(1)) - base
+        return who if 0 <= who < billed else None
+    who = names.get(_flat(label))
+    return names.get(_flat(_TITLE.sub("", label.strip()))) if who is None else who
+
+
 def split_cue(text: str, names: dict[str, int], billed: int, base: int) -> tuple[int | None, bool, str]:
     """Speaker of the label, whether a change mark stands, and clean text."""
-    t = _TAG.sub(" ", _CLOCK.sub(" ", text)).strip()
+    t = _CLOCK.sub(" ", text)
     speaker, mark = None, False
     for _ in range(3):
         m = _MARK.match(t)
         if m and m.end():
             mark, t = True, t[m.end():]
             continue
-        m = _LABEL.match(t)
-        if not m or speaker is not None:
+        if speaker is not None:
             break
-        label = next(g for g in m.groups() if g is not None)
-        number = _NUMBERED.match(label.strip())
-        if number:
-            who = int(number.group(1)) - base
-            who = who if 0 <= who < billed else None
-        else:
-            plain = _flat(label)
-            who = names.get(plain)
-            if who is None:
-                who = names.get(_flat(_TITLE.sub("", label.strip())))
-        if who is None:
+        bare = _TAG.sub(" ", t)
+        for form in _LABELS:
+            m = form.match(bare)
+            speaker = _named(m.group(1), names, billed, base) if m else None
+            if speaker is not None:
+                break
+        if speaker is None:
             break
-        speaker, t = who, t[m.end():]
+        # the tags stay behind the label, where they may set a sound note
+        plain = form.match(t)
+        t = t[plain.end():] if plain and _named(plain.group(1), names, billed, base) == speaker else bare[m.end():]
+    if _ITALIC_CUE.match(t):
+        return speaker, mark, ""
+    t = _TAG.sub(" ", t)
     t = _SOUND.sub(" ", t)
     t = _FILLER.sub(" ", t)
     t = _SPACE.sub(" ", t)
@@ -131,7 +176,7 @@ def split_cue(text: str, names: dict[str, int], billed: int, base: int) -> tuple
     return speaker, mark, t if _WORD.search(t) else ""
 
 
-def turns(speakers, utterances) -> list[tuple[int, int, str, str]]:
+def turns(speakers, utterances, kind: str | None = None) -> list[tuple[int, int, str, str]]:
     """start_ms, end_ms, speaker, text of one transcript's turns."""
     billed = [s for s in (speakers if speakers is not None else []) if s and s.strip()]
     if not billed or utterances is None:
@@ -145,7 +190,7 @@ def turns(speakers, utterances) -> list[tuple[int, int, str, str]]:
     base = 0 if any(re.match(r"^\W*(?:speaker|s)\s*0\s*:", _CLOCK.sub(" ", c[2]), re.I) for c in cues) else 1
     out: list[list] = []
     current, previous = None, None
-    for i in cue_order(cues):
+    for i in cue_order(cues, kind):
         start, end, text = cues[i]
         who, mark, clean = split_cue(text, names, len(billed), base)
         if not clean:
@@ -184,18 +229,26 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = [
             (doc, n, *turn)
-            for doc, speakers, cues in zip(pdf["doc_id"], pdf["speakers"], pdf["utterances"])
-            for n, turn in enumerate(turns(speakers, cues), 1)
+            for doc, speakers, cues, kind in zip(pdf["doc_id"], pdf["speakers"], pdf["utterances"], pdf["caption_kind"])
+            for n, turn in enumerate(turns(speakers, cues, kind), 1)
         ]
         yield pd.DataFrame(rows, columns=_TURNS.names)
 
 
 def speaker_turns(transcripts: DataFrame) -> DataFrame:
-    """doc_id, turn_no, start_ms, end_ms, speaker, text of every turn."""
+    """doc_id, turn_no, start_ms, end_ms, speaker, text of every turn; without
+    a caption_kind column the kind is unknown."""
+    if "caption_kind" not in transcripts.columns:
+        transcripts = transcripts.withColumn("caption_kind", F.lit(None).cast("string"))
     return (
         transcripts.where(F.col("doc_id").isNotNull() & (F.size("utterances") > 0))
         .groupBy("doc_id")
-        .agg(F.max_by(F.struct("speakers", "utterances"), F.coalesce("version", F.lit(-1))).alias("t"))
-        .select("doc_id", "t.speakers", "t.utterances")
+        .agg(
+            F.max_by(
+                F.struct("speakers", "utterances", "caption_kind"),
+                F.struct(F.coalesce("version", F.lit(-1)), F.xxhash64("speakers", "utterances", "caption_kind")),
+            ).alias("t")
+        )
+        .select("doc_id", "t.speakers", "t.utterances", "t.caption_kind")
         .mapInPandas(_fold, _TURNS)
     )
