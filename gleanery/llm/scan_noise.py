@@ -72,6 +72,8 @@ _NUMBER_LINE = re.compile(
 )
 _ROMAN = re.compile(r"^m*(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$")
 _TOKEN = re.compile(r"[^\W_]+(?:['’\-‐‑][^\W_]+)*")
+#: Signs that belong to no text.
+_ODD = re.compile(r"[^\w\s.,;:?!'\"’‘“”()\-–—…&/%‐¬\u00ad·|\[\]]|_")
 _CHAPTER = re.compile(r"^\s*(?:chapter|part|kapitel|chapitre)\s+\w+\s*$", re.I)
 _END_MARK = re.compile(r"[.?!:;,\"”’)]$")
 _LOOKS = str.maketrans("0158961", "oisbgbi")
@@ -125,12 +127,13 @@ def is_garbled(line: str, letters_of: Letters | None = None) -> bool:
     each other as in no text of the corpus."""
     if letters_of is not None and letters_of.mean_bits(line) < GARBLED_BITS:
         return True
-    signs = [c for c in line if not c.isspace()]
-    if len(signs) < 4:
+    signs = len("".join(line.split()))
+    if signs < 4:
         return False
-    letters = sum(c.isalpha() for c in signs)
-    odd = sum(not c.isalnum() and c not in ".,;:?!'\"’‘“”()-—–…&/%‐¬­·|[]" for c in signs)
-    return odd >= 0.2 * len(signs) or (letters < 0.4 * len(signs) and odd >= 3)
+    odd = len(_ODD.findall(line))
+    if odd >= 0.2 * signs:
+        return True
+    return odd >= 3 and sum(map(str.isalpha, line)) < 0.4 * signs
 
 
 def page_number(line: str, labels: set[str]) -> bool:
@@ -670,7 +673,8 @@ def misread_words(lines: DataFrame, broken: DataFrame, words: DataFrame, pairs:
     )
     # digits inside a word that no known word explains
     mixed = (
-        texts.select("line_id", F.explode("tokens").alias("word"))
+        texts.where(F.exists("tokens", lambda w: F.translate(w, "0123456789", "") != w))
+        .select("line_id", F.explode("tokens").alias("word"))
         .where(F.col("word").rlike(r"[a-z][0-9]+[a-z]|^[a-z]{2,}[0-9]$|^[0-9][a-z]{3,}$") & ~F.col("word").rlike(r"^\d+(st|nd|rd|th|ers?|e)$"))
         .select("line_id", "word", F.translate("word", "015896", "olsbgb").alias("fixed"))
     )
