@@ -117,22 +117,3 @@ def split_long(units: DataFrame, max_words: int = 580) -> DataFrame:
             F.greatest(F.lit(0), F.least(F.col("step"), F.col("n") - (F.col("part") - 1) * F.col("step"))).cast("long").alias("n_words"),
         )
     )
-
-
-def best_window(span: Column, text: Column, least: int = 4) -> Column:
-    """Best set similarity of a quote's words with any window of the text
-    ``len(quote) - least`` words or more long, earliest window first: a struct
-    (score, at). Both are arrays of words."""
-    size = F.greatest(F.size(span), F.lit(least))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(text) - size + 1))
-
-    def score(i: Column) -> Column:
-        part = F.array_distinct(F.slice(text, i, size))
-        want = F.array_distinct(span)
-        both = F.size(F.array_intersect(part, want))
-        return F.struct((both / F.greatest(F.lit(1), F.size(part) + F.size(want) - both)).alias("score"), (-i).alias("neg"))
-
-    best = F.array_max(F.transform(starts, score))
-    return F.when(
-        (F.size(span) > 0) & (F.size(text) > 0), F.struct(best["score"].alias("score"), (-best["neg"]).alias("at"))
-    )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import decisions, evaluation, graph, integrity, portfolio, retrieval, state, units, usage
+from gleanery.plans import decisions, evaluation, graph, grounding, integrity, portfolio, retrieval, state, units, usage
 from gleanery.streaming import events
 
-MODULES = [integrity, retrieval, units, decisions, evaluation, usage, state, portfolio, graph, events]
+MODULES = [integrity, retrieval, units, grounding, decisions, evaluation, usage, state, portfolio, graph, events]
 
 
 def queries() -> dict:

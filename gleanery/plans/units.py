@@ -25,12 +25,6 @@ TEXTS = {
         c AS (SELECT doc_id, u.start_ms AS s, u.end_ms AS e FROM u WHERE u.start_ms IS NOT NULL AND u.end_ms > u.start_ms),
         m AS (SELECT doc_id, [[rows:[[range:[[div:s¦120000]]¦[[div:e - 1¦120000]]]]]] AS moment FROM c)
         SELECT doc_id, CAST(moment AS BIGINT) AS moment, CAST(count(*) AS BIGINT) AS n_cues FROM m GROUP BY doc_id, moment""",
-    "asof_section": """-- J8 Q14: last item of the document that starts at or before a cue's minute
-        WITH i AS (SELECT DISTINCT item_id, CAST(doc_id AS BIGINT) AS doc_id, start_ms FROM {items} WHERE doc_id NOT IN ('', '-1') AND start_ms >= 0),
-        p AS (SELECT DISTINCT doc_id, [[div:start_ms¦600000]] * 600000 AS at_s FROM i),
-        b AS (SELECT p.doc_id, p.at_s, i.item_id, row_number() OVER (PARTITION BY p.doc_id, p.at_s ORDER BY i.start_ms DESC, i.item_id DESC) AS rn
-              FROM p JOIN i ON i.doc_id = p.doc_id AND i.start_ms <= p.at_s)
-        SELECT doc_id, at_s, item_id FROM b WHERE rn = 1""",
     "nearest_snap": """-- J9 W37: item starts snapped to the nearest half minute, made contiguous
         WITH i AS (SELECT DISTINCT item_id, doc_id, start_ms FROM {items} WHERE doc_id NOT IN ('', '-1') AND start_ms >= 0),
         s AS (SELECT item_id, doc_id, [[div:start_ms + 15000¦30000]] * 30000 AS snapped FROM i)
@@ -47,13 +41,6 @@ TEXTS = {
     "deep_links": """-- X6 X7: link and minute label of an item by its kind
         SELECT DISTINCT item_id, CASE WHEN start_ms < 0 OR start_ms IS NULL THEN deep_link ELSE concat('#t=', CAST([[div:start_ms¦1000]] AS VARCHAR(12)), 's') END AS link,
           CASE WHEN start_ms >= 0 THEN concat(CAST([[div:start_ms¦60000]] AS VARCHAR(8)), ':', lpad(CAST([[div:start_ms¦1000]] % 60 AS VARCHAR(2)), 2, '0')) END AS label FROM {items}""",
-    "verified_items": """-- F5 W9: items whose evidence stands in their text word by word
-        SELECT DISTINCT item_id, position(lower(evidence) IN lower(text)) > 0 AS verified FROM {items} WHERE evidence IS NOT NULL AND evidence <> '' AND text IS NOT NULL""",
-    "verification_status": """-- A6 A7 A8 A24: share of verified items of a document: pass, flagged or failed
-        WITH v AS (SELECT DISTINCT item_id, doc_id, CASE WHEN position(lower(evidence) IN lower(text)) > 0 THEN 1 ELSE 0 END AS ok FROM {items} WHERE coalesce(evidence, '') <> '' AND text IS NOT NULL),
-        n AS (SELECT doc_id, count(*) AS checked, sum(ok) AS passed FROM v GROUP BY doc_id)
-        SELECT doc_id, CAST(checked AS BIGINT) AS checked, CAST(passed AS BIGINT) AS passed,
-          CASE WHEN passed * 10 >= checked * 9 THEN 'pass' WHEN passed * 10 < checked * 6 THEN 'failed' ELSE 'flagged' END AS status FROM n""",
     "eligible_seeds": """-- F7 F16: items that may seed a question
         SELECT DISTINCT item_id FROM {items} WHERE kind IN ('advice', 'takeaway') AND coalesce(evidence, '') <> '' AND start_ms >= 0 AND coalesce(source_kind, '') <> ''""",
     "english_tracks": """-- F13 F14: documents whose language's primary subtag is English, by caption kind
@@ -75,8 +62,6 @@ TEXTS = {
         SELECT CAST([[json:props¦'$.rev']] AS BIGINT) AS rev, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT node_id, props FROM {nodes} WHERE props LIKE '%rev%') p GROUP BY 1""",
     "index_scan": """-- S14 S15 W16 K7: projected scan of the item index with defaults for missing cells
         SELECT DISTINCT item_id, coalesce(kind, '') AS kind, coalesce(year, -1) AS year, coalesce(series, '') AS series FROM {items} WHERE kind IN ('advice', 'fact')""",
-    "index_fingerprint": """-- A26 V15 K6: one hash over the ordered documents
-        SELECT [[sha:k]] AS fingerprint FROM (SELECT CAST(sum(doc_id % 1000003) AS VARCHAR(30)) AS k FROM {documents}) f""",
 }
 QUERIES, SQL = plans(TEXTS)
 
@@ -132,16 +117,6 @@ def long_unit_split(spark: SparkSession, sf: str) -> DataFrame:
     return sg.split_long(_units(spark, sf), 40)
 
 
-def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
-    """Best window of each item's evidence in its own text,
-    in thousandths, with the word it starts at."""
-    items = table(spark, sf, "items").where("evidence IS NOT NULL AND text IS NOT NULL").select("item_id", "evidence", "text").distinct()
-    best = sg.best_window(ft.normal_words(F.col("evidence")), ft.normal_words(F.col("text")))
-    return items.withColumn("b", best).select(
-        "item_id", F.floor(F.col("b.score") * 1000).cast("long").alias("score_milli"), F.col("b.at").alias("at")
-    )
-
-
 def name_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Keys of series names: singular form, slug, entity form."""
     return table(spark, sf, "documents").where("series IS NOT NULL").select(
@@ -201,7 +176,7 @@ QUERIES |= {
     f.__name__: f
     for f in (
         rolling_dedup, utterance_merge, chunk_overlap, parent_windows, extraction_windows, long_unit_split,
-        quote_grounding, name_keys, garbled_units, content_hashes, asof_section, index_fingerprint,
+        name_keys, garbled_units, content_hashes, asof_section, index_fingerprint,
     )
 }
 _UNITS = "u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL)"
@@ -223,3 +198,12 @@ SQL["content_hashes"] = r"""SELECT doc_id, substr(sha256(trim(regexp_replace(low
 SQL["garbled_units"] = f"""WITH {_UNITS} SELECT CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 20
       THEN length(regexp_replace(lower(text), '[^rnhiflm]', '', 'g')) < length(regexp_replace(text, '[^A-Za-z]', '', 'g')) * 0.1 END AS garbled,
       CAST(count(*) AS BIGINT) AS n_units FROM u GROUP BY ALL"""
+SQL["asof_section"] = """WITH i AS (SELECT DISTINCT item_id, TRY_CAST(doc_id AS BIGINT) AS doc_id, start_ms FROM items
+      WHERE doc_id NOT IN ('', '-1') AND start_ms >= 0 AND item_id IS NOT NULL),
+    c AS (SELECT DISTINCT doc_id, u.start_ms AS at_s FROM (SELECT doc_id, unnest(utterances) AS u FROM transcripts WHERE utterances IS NOT NULL) x WHERE u.start_ms IS NOT NULL)
+    SELECT c.doc_id, c.at_s, max_by(i.item_id, (i.start_ms, i.item_id)) AS item_id FROM c JOIN i ON i.doc_id = c.doc_id AND i.start_ms <= c.at_s GROUP BY ALL"""
+SQL["index_fingerprint"] = """WITH v AS (SELECT doc_id, max(version) AS version FROM transcripts GROUP BY doc_id),
+    r AS (SELECT DISTINCT d.doc_id, coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || coalesce(sha256(text), '') || '|' || coalesce(CAST(version AS VARCHAR), '') AS line
+      FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id),
+    p AS (SELECT CAST(floor(doc_id / 10000) AS BIGINT) AS part, sha256(string_agg(line, chr(10) ORDER BY doc_id, line)) AS hash FROM r GROUP BY ALL)
+    SELECT sha256(string_agg(hash, chr(10) ORDER BY part)) AS fingerprint FROM p"""

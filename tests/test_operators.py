@@ -93,14 +93,6 @@ def test_windows_and_splits(spark):
     assert [r[1] for r in rows(sg.split_long(units.limit(1), 140), "part", "n_words")] == [100, 100, 100]
 
 
-def test_best_window(spark):
-    df = spark.createDataFrame([("b c d e", "a b c d e f"), ("x y z q", "a b c"), ("", "a")], "q string, t string")
-    w = sg.best_window(ft.normal_words(F.col("q")), ft.normal_words(F.col("t")))
-    got = [r[0] for r in df.select(w).collect()]
-    assert (got[0]["score"], got[0]["at"]) == (1.0, 2)
-    assert got[1]["score"] == 0.0 and got[2] is None
-
-
 def test_text_functions(spark):
     df = spark.createDataFrame([("0-306-40615-2", "Companies & Buses", "A  um [laughs] quote (so very nice), ok")], "i string, n string, q string")
     r = df.select(ft.isbn13(F.col("i")), ft.singular_key(F.col("n")), ft.normal_words(F.col("q"))).collect()[0]
