@@ -34,6 +34,15 @@ FUNCTIONS = {
     "split": ("split($1, $2)", "string_split_regex($1, $2)"),
     "json": ("get_json_object($1, $2)", "json_extract_string($1, $2)"),
     "div": ("(($1) div ($2))", "(($1) // ($2))"),
+    # places of the median and the 95th percentile of $1 ordered rows, half even
+    "nth50": (
+        "((($1) - 1) div 2 + CASE WHEN (($1) - 1) % 4 = 3 THEN 1 ELSE 0 END)",
+        "((($1) - 1) // 2 + CASE WHEN (($1) - 1) % 4 = 3 THEN 1 ELSE 0 END)",
+    ),
+    "nth95": (
+        "((($1) - 1) * 19 div 20 + CASE WHEN (($1) - 1) * 19 % 20 > 10 OR (($1) - 1) * 19 % 40 = 30 THEN 1 ELSE 0 END)",
+        "((($1) - 1) * 19 // 20 + CASE WHEN (($1) - 1) * 19 % 20 > 10 OR (($1) - 1) * 19 % 40 = 30 THEN 1 ELSE 0 END)",
+    ),
     "range": ("sequence($1, $2)", "generate_series($1, $2)"),
     "days": ("datediff($1, $2)", "date_diff('day', $2, $1)"),
     "date": ("to_date($1)", "CAST($1 AT TIME ZONE 'UTC' AS DATE)"),
@@ -61,20 +70,27 @@ def _calls(text: str, which: int) -> str:
     return text
 
 
-def plan(text: str) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+def plan(text: str, views: dict | None = None) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """Spark callable and twin text. ``views`` name inputs other than tables: a
+    callable for Spark and the common table expressions of the twin."""
+    views = views or {}
     names = sorted(set(re.findall(r"\{(\w+)\}", text)))
     spark_text = _calls(text, 0)
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return spark.sql(spark_text, **{n: table(spark, sf, n) for n in names})
+        return spark.sql(spark_text, **{n: views[n][0](spark, sf) if n in views else table(spark, sf, n) for n in names})
 
     run.__doc__ = next((x.strip("- \n") for x in text.strip().splitlines() if x.strip().startswith("--")), "")
-    return run, _calls(re.sub(r"\{(\w+)\}", r"\1", text), 1)
+    twin = _calls(re.sub(r"\{(\w+)\}", r"\1", text), 1)
+    needed = ", ".join(views[n][1] for n in names if n in views)
+    if needed:
+        twin = re.sub(r"\bWITH ", lambda m: f"WITH {needed}, ", twin, count=1)
+    return run, twin
 
 
-def plans(texts: dict[str, str]) -> tuple[dict, dict]:
+def plans(texts: dict[str, str], views: dict | None = None) -> tuple[dict, dict]:
     queries, sql = {}, {}
     for name, text in texts.items():
-        queries[name], sql[name] = plan(text)
+        queries[name], sql[name] = plan(text, views)
         queries[name].__name__ = name
     return queries, sql

@@ -23,16 +23,14 @@ TEXTS = {
         WITH {_ASKS} SELECT user_id, CAST(ask_no AS BIGINT) AS ask_no, min(at_s) AS started, max(at_s) AS ended,
           CAST(count(*) AS BIGINT) AS n_events, CAST(count(DISTINCT round_no) AS BIGINT) AS n_rounds
         FROM asks GROUP BY user_id, ask_no""",
-    "usage_summary": """-- A9 V28: calls, empty results and exact percentiles per tool
+    "usage_summary": f"""-- A9 V28: calls, empty and weak results, exact percentiles per tool (places rounded half even)
         WITH ranked AS (
           SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rn,
-            count(*) OVER (PARTITION BY event_type) AS n FROM {events} WHERE value IS NOT NULL),
-        spots AS (SELECT event_type, n,
-            [[div:(n - 1) * 2 + 2 - CASE WHEN (n - 1) % 4 = 1 THEN 1 ELSE 0 END¦4]] AS mid, value, rn FROM ranked)
-        SELECT event_type, CAST(max(n) AS BIGINT) AS n_calls,
-          max(CASE WHEN rn = 1 + [[div:n - 1¦2]] THEN value END) AS lower_median,
-          max(CASE WHEN rn = 1 + [[div:(n - 1) * 19 + 10¦20]] THEN value END) AS p95
-        FROM spots GROUP BY event_type""",
+            count(*) OVER (PARTITION BY event_type) AS n FROM {{events}} WHERE value IS NOT NULL)
+        SELECT event_type, CAST(max(n) AS BIGINT) AS n_calls, CAST(sum(CASE WHEN {_LEVEL} = 'empty' THEN 1 ELSE 0 END) AS BIGINT) AS n_empty,
+          CAST(sum(CASE WHEN {_LEVEL} = 'none' THEN 1 ELSE 0 END) AS BIGINT) AS n_gaps,
+          max(CASE WHEN rn = 1 + [[nth50:n]] THEN value END) AS p50, max(CASE WHEN rn = 1 + [[nth95:n]] THEN value END) AS p95
+        FROM ranked GROUP BY event_type""",
     "weak_searches": f"""-- W40 L5: newest weak calls
         SELECT event_id, user_id, event_type, [[epoch:ts]] AS at_s FROM {{events}}
         WHERE {_LEVEL} IN ('none', 'empty') ORDER BY ts DESC, event_id LIMIT 50""",
