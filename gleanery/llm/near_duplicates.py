@@ -3,18 +3,26 @@
 A record's fingerprint is its word set, one position per word. For two sets
 of sizes n <= n' whose shared words are at least 0.8 of all words, the Hamming
 distance (words in one set only) is at most (n + n') / 9, and at most n / 4.
-The word universe is cut into m = floor(d / 2) + 1 segments by word hash, so
-by the pigeonhole principle one segment differs in at most one word. Each
+The word universe is cut into m > d / 2 segments by word hash, so by the
+pigeonhole principle one segment differs in at most one word. Each
 segment is a hash table; a record enters it under its own segment value and
 under the small ball around it (the segment without one of its words). Two
 records meet in a table when their segment values are equal or one is the
 other less one word, which covers every pair: no candidate is lost. The table
-match is checked against a 64-bit parity folding of the whole fingerprint,
+match is checked against a 40-bit parity folding of the whole fingerprint,
 whose Hamming distance never exceeds the true one, then the complete distance
 is verified on the sets themselves.
 
-m depends on the smaller partner, so a record enters the tables of each m that
-a partner of 0.8 to 1 times its size may use.
+m depends on the size class of the smaller partner, so a record enters the tables
+of each m that a partner of 0.8 to 1 times its size may use; sets of fewer than four words
+have no partner but their equals and enter none.
+
+A segment value of fewer than ``PLAIN_WORDS`` words names little or nothing and
+would be shared by records without end. Its key is completed by one of the
+record's rarest words: similar sets share one of their n // 5 + 1 rarest words
+under any order, so the key is written once for each of them and still no
+candidate is lost. The order is by the counts of a fixed number of word
+buckets, then by hash; only these counts reach the workers.
 
 Records with equal word sets are one class first; only classes are compared,
 so a group of copies costs one record. Short strings use the same scheme over
@@ -43,7 +51,19 @@ from gleanery.session import cut_lineage
 #: Copies of one text whose pairs are written out in full.
 EXPANDED_CLASS = 50
 
-_KEYS = "key long, id long, n int, parity long, ball int"
+#: Segment values of fewer words are completed by a rare word.
+PLAIN_WORDS = 3
+#: Buckets of the word counts that order words by rarity.
+COUNT_BUCKETS = 1 << 18
+#: Table rows a task of the candidate join takes.
+ROWS_PER_TASK = 500_000
+
+#: Bits of a table key that are kept; chance meetings are verified like others.
+_KEY_MASK = np.uint64((1 << 48) - 1)
+#: A table row is three numbers; sig holds 40 parity bits, the set's size and
+#: whether the row is of the ball.
+_KEYS = "key long, id long, sig long"
+_PARITY_SHIFT, _SIZE_BITS = 24, 23
 
 
 def budget(n: int) -> int:
@@ -52,12 +72,17 @@ def budget(n: int) -> int:
 
 
 def segments(n: int) -> int:
-    return budget(n) // 2 + 1
+    """Segments for pairs whose smaller set has n words. More are never wrong, so
+    sizes up to the next power of two share one number, and a record enters one
+    family of tables, or two."""
+    largest = (1 << n.bit_length()) - 1
+    return budget(largest) // 2 + 1
 
 
 def segment_counts(n: int) -> list[int]:
-    """Table families a set of n words enters: one per possible smaller partner."""
-    return sorted({segments(k) for k in range(-(-4 * n // 5), n + 1)})
+    """Table families a set of n words enters: one per class of possible smaller
+    partners that may differ at all."""
+    return sorted({segments(k) for k in range(-(-4 * n // 5), n + 1) if budget(k) > 0})
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,17 +94,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def table_rows(ids: np.ndarray, offsets: np.ndarray, words: np.ndarray, with_ball: bool):
-    """Hash-table rows of a batch of sets: key, id, n, parity, ball."""
+def _rarest(n: np.ndarray, offsets: np.ndarray, mixed: np.ndarray, counts: np.ndarray | None):
+    """Offsets and hashes of each record's n // 5 + 1 rarest words."""
+    owner = np.repeat(np.arange(len(n)), n)
+    seen = counts[(mixed >> np.uint64(20)) % np.uint64(len(counts))] if counts is not None else np.zeros(len(mixed), np.int64)
+    order = np.lexsort((mixed, seen, owner))
+    place = np.arange(len(mixed)) - np.repeat(offsets[:-1], n)
+    taken = order[place < np.repeat(n // 5 + 1, n)]
+    size = np.where(n > 0, n // 5 + 1, 0)
+    return np.concatenate([[0], np.cumsum(size)]), mixed[taken]
+
+
+def table_rows(ids: np.ndarray, offsets: np.ndarray, words: np.ndarray, with_ball: bool, counts: np.ndarray | None = None):
+    """Hash-table rows of a batch of sets: key, id, sig."""
     n = np.diff(offsets)
-    values = words.astype(np.int64).astype(np.uint64)
-    mixed = _mix(values)
+    mixed = _mix(words.astype(np.int64).astype(np.uint64))
     owner = np.repeat(np.arange(len(n)), n)
-    bits = np.left_shift(np.uint64(1), mixed >> np.uint64(58))
-    parity = np.zeros(len(n), np.uint64)
+    bits = np.left_shift(np.int64(1), ((mixed >> np.uint64(33)) % np.uint64(40)).astype(np.int64))
+    parity = np.zeros(len(n), np.int64)
     filled = n > 0
     if filled.any():
         parity[filled] = np.bitwise_xor.reduceat(bits, offsets[:-1][filled])
+    sig = (parity << _PARITY_SHIFT) | (n.astype(np.int64) << 1)
+    rare_at, rare = _rarest(n, offsets, mixed, counts)
+
+    def rows(key: np.ndarray, doc: np.ndarray, size: np.ndarray, ball: int):
+        """Rows of plain keys as they are, others once for each rare word."""
+        few = np.flatnonzero(size < PLAIN_WORDS)
+        many = np.flatnonzero(size >= PLAIN_WORDS)
+        times = np.diff(rare_at)[doc[few]]
+        row = np.repeat(few, times)
+        start = np.repeat(rare_at[doc[few]], times)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        keys = np.concatenate([key[many], _mix(key[row] ^ rare[start + step])])
+        docs = np.concatenate([doc[many], doc[row]])
+        return (keys & _KEY_MASK).view(np.int64), ids[docs], sig[docs] | ball
+
     families = {int(k): segment_counts(int(k)) for k in np.unique(n[filled])}
     for m in sorted({m for ms in families.values() for m in ms}):
         sizes = [k for k, ms in families.items() if m in ms]
@@ -93,25 +143,36 @@ def table_rows(ids: np.ndarray, offsets: np.ndarray, words: np.ndarray, with_bal
         total = np.zeros(n_cells, np.uint64)
         with np.errstate(over="ignore"):
             np.add.at(total, cell, val)
+        size = np.bincount(cell, minlength=n_cells)
         salt = _mix(np.arange(m, dtype=np.uint64) + np.uint64(m * 1000))
         docs = np.flatnonzero(chosen)
-        yield (
-            _mix(total ^ np.tile(salt, len(docs))).view(np.int64),
-            np.repeat(ids[docs], m), np.repeat(n[docs], m).astype(np.int32),
-            np.repeat(parity[docs], m).view(np.int64), np.zeros(n_cells, np.int32),
-        )
+        yield rows(_mix(total ^ np.tile(salt, len(docs))), np.repeat(docs, m), size, 0)
         if with_ball:
             with np.errstate(over="ignore"):
                 less = total[cell] - val
-            yield (
-                _mix(less ^ salt[seg.astype(np.int64)]).view(np.int64),
-                ids[doc], n[doc].astype(np.int32), parity[doc].view(np.int64),
-                np.ones(len(doc), np.int32),
-            )
+            yield rows(_mix(less ^ salt[seg.astype(np.int64)]), doc, size[cell] - 1, 1)
+
+
+def word_bucket_counts(classes: DataFrame) -> np.ndarray:
+    """Sets per bucket of word hashes: a fixed number of counts."""
+    counts = np.zeros(COUNT_BUCKETS, np.int64)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNT_BUCKETS, np.int64)
+        for batch in batches:
+            words = batch.column("words").flatten().to_numpy(zero_copy_only=False)
+            mixed = _mix(words.astype(np.int64).astype(np.uint64))
+            total += np.bincount(((mixed >> np.uint64(20)) % np.uint64(COUNT_BUCKETS)).astype(np.int64), minlength=COUNT_BUCKETS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
+
+    found = classes.select("words").mapInArrow(partial, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
 
 
-def _tables(classes: DataFrame, with_ball: bool) -> DataFrame:
-    names = ["key", "id", "n", "parity", "ball"]
+def _tables(classes: DataFrame, with_ball: bool, counts: np.ndarray) -> DataFrame:
+    names = ["key", "id", "sig"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +181,7 @@ def _tables(classes: DataFrame, with_ball: bool) -> DataFrame:
             offsets = col.offsets.to_numpy().astype(np.int64)
             words = col.values.to_numpy(zero_copy_only=False)
             words = words[offsets[0]: offsets[-1]]
-            for part in table_rows(ids, offsets - offsets[0], words, with_ball):
+            for part in table_rows(ids, offsets - offsets[0], words, with_ball, counts):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=names)
 
     return classes.select("id", "words").mapInArrow(rows, _KEYS)
@@ -160,17 +221,24 @@ def set_classes(sets: DataFrame) -> DataFrame:
 
 def similar_classes(classes: DataFrame) -> DataFrame:
     """id_a, id_b of the classes whose word sets are similar (one table's)."""
-    full = _tables(classes, with_ball=False).alias("a")
-    ball = _tables(classes, with_ball=True).alias("b")
-    n_both = F.col("a.n") + F.col("b.n")
+    counts = word_bucket_counts(classes)
+    # partitions follow the input: a set of n words has about 2 n rows
+    n_words = classes.agg(F.sum(F.size("words"))).first()[0] or 0
+    n_parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * n_words // ROWS_PER_TASK)
+    full = _tables(classes, False, counts).repartition(n_parts, "key").alias("a")
+    ball = _tables(classes, True, counts).repartition(n_parts, "key").alias("b")
+    def size(side: str):
+        return F.shiftright(f"{side}.sig", 1).bitwiseAND((1 << _SIZE_BITS) - 1)
+
+    apart = F.bit_count(F.shiftrightunsigned(F.col("a.sig").bitwiseXOR(F.col("b.sig")), _PARITY_SHIFT))
     met = (
         full.join(
             ball,
             (F.col("a.key") == F.col("b.key"))
             & (F.col("a.id") != F.col("b.id"))
-            & ((F.col("b.ball") == 1) | (F.col("a.id") < F.col("b.id")))
-            & (F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) * 9 <= n_both)
-            & (F.least("a.n", "b.n") * 5 >= F.greatest("a.n", "b.n") * 4),
+            & ((F.col("b.sig").bitwiseAND(1) == 1) | (F.col("a.id") < F.col("b.id")))
+            & (apart * 9 <= size("a") + size("b"))
+            & (F.least(size("a"), size("b")) * 5 >= F.greatest(size("a"), size("b")) * 4),
         )
         .select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
         .distinct()
