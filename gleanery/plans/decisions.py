@@ -29,9 +29,6 @@ TEXTS = {
     "tag_candidates": f"""-- W26 C9: topics of a document within a fifth of its best, in order
         WITH {_TAGS}, b AS (SELECT *, max(c) OVER (PARTITION BY doc_id) AS best FROM s)
         SELECT doc_id, topic, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, topic) AS BIGINT) AS rn FROM b WHERE c * 5 >= best * 4""",
-    "threshold_sweep": f"""-- C5 C11: share thresholds scored on kept topics
-        WITH {_TAGS} SELECT t AS threshold, CAST(sum(CASE WHEN share_milli >= t THEN 1 ELSE 0 END) AS BIGINT) AS n_kept, CAST(count(DISTINCT CASE WHEN share_milli >= t THEN doc_id END) AS BIGINT) AS n_docs
-        FROM s CROSS JOIN (SELECT x * 100 AS t FROM (SELECT [[rows:[[range:1¦9]]]] AS x) r) g GROUP BY t""",
     "declared_domains": f"""-- C4 U14: declared topics with their items, empty ones count as none
         WITH {_TAGS}, d AS (SELECT 'pricing' AS topic UNION ALL SELECT 'hiring' UNION ALL SELECT 'astronomy')
         SELECT d.topic, CAST(count(tags.item_id) AS BIGINT) AS n, CASE WHEN count(tags.item_id) = 0 THEN 'none' ELSE 'some' END AS level FROM d LEFT JOIN tags ON tags.topic = d.topic GROUP BY d.topic""",
@@ -93,17 +90,6 @@ def calibrated_probability(spark: SparkSession, sf: str) -> DataFrame:
     return _neighbours(spark, sf).select("qid", "vec_id", F.floor(dec.calibrated(F.col("cosine"), knots) * 1e6).cast("long").alias("p_micro"))
 
 
-def coverage_level(spark: SparkSession, sf: str) -> DataFrame:
-    """Strong from three likely neighbours of two labels on, partial from one on."""
-    p = dec.calibrated(F.col("cosine"), [(0.2, 0.05), (0.4, 0.3), (0.6, 0.7), (0.8, 0.95)])
-    got = _neighbours(spark, sf).withColumn("p", p).groupBy("qid").agg(
-        F.count_if(F.col("p") >= 0.5).alias("n_strong"), F.max("p").alias("best"), F.countDistinct(F.when(F.col("p") >= 0.5, F.col("label"))).alias("n_labels")
-    )
-    return got.select(
-        "qid", F.when(F.col("best") < 0.25, "none").when((F.col("n_strong") >= 3) & (F.col("n_labels") >= 1), "strong").otherwise("partial").alias("level")
-    )
-
-
 def brier_by_fold(spark: SparkSession, sf: str) -> DataFrame:
     """Squared error of the curve of the other fold, over scored rows."""
     folds = _pairs(spark, sf).withColumn("fold", (F.col("qid") / 100).cast("int") % 2)
@@ -130,23 +116,21 @@ def leader_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def paired_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """Bootstrap interval, randomisation and
-    exact tests of the neighbours' mean label match against chance."""
-    rows = _pairs(spark, sf).groupBy("qid").agg(F.avg("y").alias("v")).orderBy("qid").collect()
-    values = [r["v"] for r in rows]
-    low, high = dec.bootstrap_interval(values, 2000)
-    diffs = [v - 0.1 for v in values]
-    wins = sum(d > 0 for d in diffs)
-    return spark.createDataFrame(
-        [(len(values), float(low), float(high), float(dec.sign_flip_p(diffs, 2000)), float(dec.mcnemar_exact(wins, len(diffs) - wins)))],
-        "n long, low double, high double, p_flip double, p_exact double",
+    """Bootstrap interval of the neighbours' mean label match, and the
+    exact test of the questions above against those below chance."""
+    rows = _pairs(spark, sf).groupBy("qid").agg(F.avg("y").alias("v"))
+    tail = F.udf(lambda a, b: dec.binomial_tail(int(a), int(b)), "double")  # one row
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") > 0.1).alias("wins"))
+    return counts.join(dec.bootstrap(rows, "qid", "v", 1000)).select(
+        "n", *[F.floor(F.col(c) * 1e6 + 0.5).cast("long").alias(f"{c}_micro") for c in ("low", "high")],
+        F.floor(tail("wins", F.col("n") - F.col("wins")) * 1e6 + 0.5).cast("long").alias("p_micro"),
     )
 
 
 QUERIES |= {
     f.__name__: f
     for f in (
-        domain_scores, route_choice, route_eval, isotonic_fit, calibrated_probability, coverage_level, brier_by_fold,
+        domain_scores, route_choice, route_eval, isotonic_fit, calibrated_probability, brier_by_fold,
         calibration_bins, leader_clusters, paired_statistics,
     )
 }
@@ -169,6 +153,4 @@ SQL |= {
     "route_eval": f"""WITH {_NB} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(rank) AS BIGINT) AS n_hit, CAST(count(*) FILTER (rank = 1) AS BIGINT) AS n_first
         FROM (SELECT vec_id AS qid, label FROM embeddings WHERE vec_id % 100 = 0) q LEFT JOIN rc ON rc.qid = q.qid AND rc.label = q.label""",
     "calibrated_probability": f"WITH {_NB} SELECT qid, vec_id, CAST(floor(({_P}) * 1e6) AS BIGINT) AS p_micro FROM nb",
-    "coverage_level": f"""WITH {_NB}, p AS (SELECT qid, label, {_P} AS p FROM nb)
-        SELECT qid, CASE WHEN max(p) < 0.25 THEN 'none' WHEN count(*) FILTER (p >= 0.5) >= 3 THEN 'strong' ELSE 'partial' END AS level FROM p GROUP BY qid""",
 }

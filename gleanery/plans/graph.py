@@ -32,7 +32,7 @@ TEXTS = {
         SELECT edge_id, rn > 1 AS now_invalid FROM r""",
     "purge_document": """-- G6: edges left after purging every document whose id is divisible by 100
         SELECT relation, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT edge_id, relation, source_doc FROM {edges}) e
-        WHERE source_doc IS NULL OR source_doc NOT IN (SELECT CAST(doc_id AS VARCHAR(20)) FROM {documents} WHERE doc_id % 100 = 0) GROUP BY relation""",
+        WHERE NOT EXISTS (SELECT 1 FROM {documents} d WHERE d.doc_id % 100 = 0 AND CAST(d.doc_id AS VARCHAR(20)) = e.source_doc) GROUP BY relation""",
     "export_live_graph": f"""-- G7: live edge list with its weight in thousandths
         WITH {_LIVE} SELECT edge_id, src, dst, CAST(floor(confidence * 1000 + 0.5) AS BIGINT) AS weight_milli FROM e WHERE invalid_at IS NULL""",
     "graph_as_of": """-- Q2 G2: edges valid at an instant, both clocks

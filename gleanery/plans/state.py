@@ -41,11 +41,14 @@ TEXTS = {
     "carry_chain": """-- W30 H3: length of each chain of carried commitments
         WITH RECURSIVE c AS (SELECT DISTINCT [[tidy:id]] AS id, nullif([[tidy:carried_from]], '') AS src FROM {commitments}),
         w(id, root, steps) AS (SELECT id, id AS root, 0 AS steps FROM c WHERE src IS NULL
-          UNION ALL SELECT c.id, w.root, w.steps + 1 FROM w JOIN c ON c.src = w.id WHERE w.steps < 60)
+          UNION ALL SELECT c.id, w.root, w.steps + 1 FROM w JOIN c ON c.src = w.id)
         SELECT root, CAST(max(steps) AS BIGINT) AS n_carried FROM w GROUP BY root""",
-    "carry_commitments": """-- H3: open commitments closed in their week and reopened in the next
-        SELECT DISTINCT id, week, status, concat(substr(week, 1, 6), lpad(CAST(least(52, CAST(substr(week, 7, 2) AS BIGINT) + 1) AS VARCHAR(2)), 2, '0')) AS next_week
-        FROM {commitments} WHERE [[tidy:status]] = 'open' AND week IS NOT NULL""",
+    "carry_commitments": """-- H3 M1: open commitments closed in their week and reopened in the next ISO week
+        WITH o AS (SELECT DISTINCT id, week, status, CAST(substr(week, 1, 4) AS BIGINT) AS y, CAST(substr(week, 7, 2) AS BIGINT) AS w
+          FROM {commitments} WHERE [[tidy:status]] = 'open' AND [[matches:week¦'^[0-9][0-9][0-9][0-9]-W[0-9][0-9]$']]),
+        l AS (SELECT *, (y + [[div:y¦4]] - [[div:y¦100]] + [[div:y¦400]]) % 7 AS p, (y - 1 + [[div:y - 1¦4]] - [[div:y - 1¦100]] + [[div:y - 1¦400]]) % 7 AS q FROM o)
+        SELECT id, week, status, CASE WHEN w < 52 OR (w = 52 AND (p = 4 OR q = 3)) THEN concat(substr(week, 1, 6), lpad(CAST(w + 1 AS VARCHAR(2)), 2, '0'))
+          ELSE concat(CAST(y + 1 AS VARCHAR(4)), '-W01') END AS next_week FROM l""",
     "open_warnings": """-- A25: founders with over three open commitments in a week
         SELECT founder_id, week, CAST(count(DISTINCT id) AS BIGINT) AS n FROM {commitments} WHERE [[tidy:status]] = 'open' GROUP BY founder_id, week HAVING count(DISTINCT id) > 3""",
     "nudges": """-- H6: overdue goals and past commitments with their priority

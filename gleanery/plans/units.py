@@ -48,14 +48,8 @@ TEXTS = {
     "dedup_by_text": """-- E5 E3: items of equal normal text, first id kept
         SELECT item_id, CAST(n AS BIGINT) AS n FROM (SELECT item_id, row_number() OVER (PARTITION BY k ORDER BY item_id) AS rn, count(*) OVER (PARTITION BY k) AS n FROM (
           SELECT DISTINCT item_id, trim([[replace:lower(text)¦'[^a-z0-9]+'¦' ']]) AS k FROM {items} WHERE text IS NOT NULL) a) b WHERE rn = 1""",
-    "url_identity": """-- X10 X11 X12 F10: host, scope and id of a page's url
-        SELECT DISTINCT url, [[extract:lower(url)¦'^https?://([^/?#]+)']] AS host, [[replace:[[extract:lower(url)¦'^https?://([^/?#]+)']]¦'^www[.]'¦'']] AS site,
-          concat('w-', substr([[sha:[[replace:url¦'^https?://(www[.])?'¦'']]]], 1, 16)) AS page_id FROM {web_pages}""",
     "page_links": """-- S2 S5 N13: internal links of a page by their first path part
         SELECT part, CAST(count(*) AS BIGINT) AS n FROM (SELECT [[rows:[[findall:lower(html)¦'href="/[a-z-]+']]]] AS part FROM {web_raw}) l GROUP BY part""",
-    "page_type": """-- S3 S4: kind of a page from its links and words
-        WITH p AS (SELECT raw_path, [[size:[[findall:lower(html)¦'href="/p/']]]] AS n_links, [[size:[[findall:[[replace:html¦'<[^>]*>'¦' ']]¦'[A-Za-z]+']]]] AS n_words FROM {web_raw})
-        SELECT raw_path, CASE WHEN n_words >= 150 AND n_links * 20 < n_words THEN 'article' WHEN n_links >= 10 THEN 'listing' ELSE 'other' END AS kind FROM p""",
     "own_words": """-- X20: words of all titles with their counts
         SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT [[rows:[[findall:lower(title)¦'[a-z]+']]]] AS word FROM {documents} WHERE title IS NOT NULL) w GROUP BY word""",
     "json_getters": """-- M16 K8 S12: titles held in the JSON of books and revisions of nodes

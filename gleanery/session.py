@@ -15,13 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; choose one only where the
-    session names none (single-machine tests)."""
+    """Use the shared checkpoint folder the session names. Only a single-machine
+    session without one gets a folder below the working directory; on a cluster a
+    missing setting is an error, as the workers would not share it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         configured = os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
     sc.setCheckpointDir(configured)
 

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as ft
@@ -9,6 +10,7 @@ from gleanery.operators import decisions as dec
 from gleanery.operators import retrieval as rt
 from gleanery.operators import segments as sg
 from gleanery.operators.graph import bounded_walk, components
+from gleanery.operators import coverage, metrics, quotes
 from gleanery.sources import broker_csv, captions, sinks, sitemap, trec
 
 
@@ -109,24 +111,120 @@ def test_graph_walk_and_components(spark):
 
 
 def test_isotonic_and_statistics(spark):
-    knots = dec.pool_adjacent([(0.1, 0.5, 10), (0.2, 0.3, 10), (0.3, 0.9, 10)])
+    knots = dec.isotonic(np.array([0.1, 0.2, 0.3]), np.array([0.5, 0.3, 0.9]), np.array([10, 10, 10]))
     assert [(round(x, 9), round(y, 9)) for x, y in knots] == [(0.15, 0.4), (0.3, 0.9)]
+    assert dec.isotonic(np.array([0.1, 0.1, 0.4]), np.array([0.1, 0.2, 0.3]), np.array([5, 5, 5])) == [(0.1, 0.1), (0.4, 0.3)]
     pairs = spark.createDataFrame([(i / 200, int(i > 100)) for i in range(200)], "s double, y int")
     knots = dec.isotonic_fit(pairs, "s", "y")
     assert [k[1] for k in knots] == sorted(k[1] for k in knots)
     assert dec.isotonic_fit(pairs.limit(20), "s", "y") is None
-    assert math.isclose(dec.mcnemar_exact(1, 9), 2 * (1 + 10) / 1024)
-    assert dec.mcnemar_exact(0, 0) == 1.0
+    assert math.isclose(dec.binomial_tail(1, 9), 2 * (1 + 10) / 1024)
+    assert dec.binomial_tail(0, 0) == 1.0
     assert dec.fleiss_kappa([[3, 0], [0, 3]]) == 1.0 and math.isnan(dec.fleiss_kappa([]))
-    low, high = dec.bootstrap_interval([0.0, 1.0] * 50, 500)
-    assert 0.3 < low < 0.5 < high < 0.7
-    assert dec.sign_flip_p([0.5] * 20, 1000) < 0.01
+    halves = spark.createDataFrame([(i, float(i % 2)) for i in range(100)], "k int, v double")
+    got = dec.bootstrap(halves, "k", "v", 500).first()
+    assert 0.35 < got["low"] < 0.45 and 0.55 < got["high"] < 0.65
+    assert dec.randomization_p(halves.selectExpr("k", "0.5D AS v").where("k < 20"), "k", "v", 500).first()["p"] < 0.01
+    assert dec.randomization_p(halves.selectExpr("k", "v - 0.5 AS v"), "k", "v", 500).first()["p"] > 0.5
 
 
-def test_leader_clusters(spark):
+def test_leader_clusters_follow_the_running_centroid(spark):
     data = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(40)]
     got = dec.leader_clusters(spark.createDataFrame(data, "id long, v array<double>"), "id", "v")
     assert {r["size"] for r in got.collect()} == {20}
+    # drifts: each vector is near the centroid so far, the last far from the first
+    turn = [(i, [math.cos(i * 0.03), math.sin(i * 0.03)]) for i in range(60)] + [(99, [-1.0, 0.0])]
+    x = [np.array(v) for _, v in turn]
+    sums, owner = [], []
+    for v in x:
+        cos = [s @ v / np.linalg.norm(s) for s in sums]
+        j = int(np.argmax(cos)) if cos else -1
+        if j < 0 or cos[j] < 0.75:
+            sums.append(v.copy())
+            owner.append(len(sums) - 1)
+        else:
+            sums[j] += v
+            owner.append(j)
+    firsts = [turn[owner.index(j)][0] for j in range(len(sums))]
+    want = {k: firsts[o] for (k, _), o in zip(turn, owner)}
+    got = dec.leader_clusters(spark.createDataFrame(turn, "id long, v array<double>").repartition(5), "id", "v", least=1).collect()
+    assert {r["id"]: r["cluster"] for r in got} == want
+
+
+def test_quotes_equal_brute_force(spark):
+    rnd = random.Random(5)
+    cases = []
+    for i in range(60):
+        text = [rnd.choice("abcdefgh") + rnd.choice("xy") for _ in range(rnd.randint(0, 40))]
+        at = rnd.randint(0, max(0, len(text) - 3))
+        quote = [w for w in text[at:at + rnd.randint(0, 14)] if rnd.random() < 0.9]
+        cases.append((i, " ".join(quote), " ".join(text)))
+
+    def brute(quote, text):
+        q, t = quote.split(), text.split()
+        if not q or not t:
+            return 0.0, None, False
+        def windows(size):
+            return [(s, set(t[s:s + size])) for s in range(max(1, len(t) - size + 1))]
+        best = max(((len(w & set(q)) / len(w | set(q)), -s) for s, w in windows(max(4, len(q)))))
+        found = (best[0], -best[1] if best[0] else None, best[0] >= 0.7)
+        if found[2] or len(set(q)) < 8:
+            return found
+        held = (0.0, None)
+        for scale in (1.15, 1.3, 1.5):
+            for s, w in windows(int(round(len(q) * scale))):
+                c = len(w & set(q)) / len(set(q))
+                if c > held[0]:
+                    held = (c, s)
+        return (*held, True) if held[0] >= 0.9 else found
+
+    got = quotes.ground_quotes(spark.createDataFrame(cases, "id int, q string, t string"), "id", "q", "t").orderBy("id").collect()
+    for r, (_, q, t) in zip(got, cases):
+        assert (r["score"], r["at"], r["ok"]) == pytest.approx(brute(q, t)), (q, t)
+
+
+def test_quote_pieces_and_roll_up(spark):
+    text = "well um the first ten customers came from cold calls [music] and nobody paid us for two whole years after that"
+    rows = [(1, "first ten customers came from ... nobody paid us for two", text), (2, "first ten customers came from ... sold the company to them", text),
+            (3, "The first (laughs) ten customers", text), (4, None, text), (5, "...", text), (6, "x", None)]
+    got = {r["id"]: r for r in quotes.ground_quotes(spark.createDataFrame(rows, "id int, q string, t string"), "id", "q", "t").collect()}
+    assert [got[i]["ok"] for i in range(1, 7)] == [True, False, True, False, False, False]
+    assert got[1]["at"] == 2 and got[3]["score"] == 1.0 and got[4]["score"] == 0.0 and got[4]["at"] is None
+    checked = spark.createDataFrame([("a", True)] * 9 + [("a", False), ("b", True), ("b", False), ("c", None), ("d", True), ("e", False)], "d string, ok boolean")
+    r = {x["d"]: (x["checked"], x["failed"], x["status"]) for x in quotes.roll_up(checked, "d", F.col("d") == "d").collect()}
+    assert r == {"a": (10, 1, "pass"), "b": (2, 1, "failed"), "c": (0, 0, "pass"), "d": (1, 0, "flagged"), "e": (1, 1, "failed")}
+
+
+def test_metrics_on_the_textbook_example(spark):
+    qrels = spark.createDataFrame([("q", "a", 3), ("q", "b", 1), ("q", "c", 0), ("q", "d", 2), ("n", "a", 1), ("z", "a", 0)], "qid string, did string, grade int")
+    runs = spark.createDataFrame([("q", d, i) for i, d in enumerate("caxd", 1)] + [("z", "a", 1)], "qid string, did string, rank int")
+    got = {r["qid"]: r for r in metrics.per_query(runs, qrels, 10).collect()}
+    ideal = 3 + 2 / math.log2(3) + 1 / 2
+    assert set(got) == {"q", "n"} and got["n"]["ndcg"] == 0.0
+    q = got["q"]
+    assert q["ndcg"] == pytest.approx((3 / math.log2(3) + 2 / math.log2(5)) / ideal) and q["recall"] == pytest.approx(2 / 3)
+    assert q["mrr"] == 0.5 and q["judged"] == 0.75 and q["condensed"] == pytest.approx((3 / math.log2(3) + 2 / 2) / ideal)
+    assert metrics.per_query(runs, qrels, 10, 2).where("qid = 'q'").first()["recall"] == 1.0
+    state = [metrics.verdict(spark.createDataFrame([(f,)], "fails_gate boolean"), F.lit(j), F.lit(s)).first()[0] for f, j, s in ((True, 1.0, True), (False, 1.0, None), (True, 0.5, True), (False, 1.0, False))]
+    assert state == ["fail", "pass", "inconclusive", "inconclusive"]
+
+
+def test_coverage_rules(spark):
+    cols = "qid int, domain int, item_id int, doc_id string, source_id string, series string, p double, best double, tier string, year int"
+    hits = [(1, 1, i, d, "s", s, p, None, t, y) for i, (d, s, p, t, y) in enumerate([
+        ("d1", "x", 0.7, "medium", 2020), ("d1", "x", 0.9, "medium", 2024)])]  # one document only
+    hits += [(1, 2, 10, "d1", "s", "x", 0.6, None, "medium", 2019), (1, 2, 11, "d2", "s", "x", 0.61, None, "medium", 2018)]
+    hits += [(1, 3, 20, "d1", "s", "x", 0.8, None, "high", None), (1, 3, 21, "d2", "s", "x", 0.8, None, "high", None)]  # one voice
+    hits += [(1, 4, 30, "d1", "s", "x", 0.5, None, "low", 2000), (1, 4, 31, "d1", "s", "x", 0.5, None, "low", 2001)]
+    hits += [(1, 5, 40, "d1", "s", "x", 0.3, None, "low", 2024), (1, 6, 50, "d1", "s", "x", None, None, "low", 2024), (1, 7, 60, "d1", "s", "x", 0.2, 0.5, "medium", 2024)]
+    got = {r["domain"]: (r["level"], r["newest_year"]) for r in coverage.levels(spark.createDataFrame(hits, cols), ["qid", "domain"]).collect()}
+    assert got == {1: ("partial", 2024), 2: ("strong", 2019), 3: ("partial", None), 4: ("strong", 2001), 5: ("none", None), 6: ("none", None), 7: ("partial", None)}
+    by = spark.createDataFrame([(1, 1, "strong"), (1, 2, "partial"), (2, 1, "none"), (3, 1, "strong")], "qid int, domain int, level string")
+    asked = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1), (3, 9)], "qid int, domain int")
+    got = {r["qid"]: (r["level"], r["weak"]) for r in coverage.combined(coverage.with_empty(by, asked, "qid"), "qid").collect()}
+    assert got == {1: ("partial", [2]), 2: ("none", []), 3: ("partial", [9])}
+    rates = spark.createDataFrame([(0.0, 0.2, 0.0), (0.02, 0.1, 0.15), (-0.02, 0.1, 0.15), (0.04, 0.0, 0.15), (0.06, 0.0, 0.2)], "shift double, answered double, refused double")
+    assert coverage.recommended(rates).first()["shift"] == 0.04
 
 
 def test_captions(spark):
