@@ -52,22 +52,37 @@ BRANCHES = frozenset(
     "div nav main aside footer header section article table body form".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SEMANTIC_SIDE = frozenset("nav aside footer form".split())
+
+
+#: Containers nested deeper count as part of the container at this depth.
+MAX_DEPTH = 16
 
 
 class LineView:
     """One text-bearing line of a page and its place in the page's tree."""
 
-    __slots__ = ("no", "text", "branch", "style", "heading", "link_chars", "side")
+    __slots__ = ("no", "text", "branch", "heading", "link_chars")
 
-    def __init__(self, no: int, branch: int, style: str, heading: bool, side: bool):
-        self.no, self.branch, self.style, self.heading, self.side = no, branch, style, heading, side
+    def __init__(self, no: int, branch: int, heading: bool):
+        self.no, self.branch, self.heading = no, branch, heading
         self.text = ""
         self.link_chars = 0
 
 
-def page_view(page: str | None) -> tuple[str, list[LineView]]:
-    """The page title and its body lines with branch, style path and links.
+class Branch:
+    """A container element: its path of tags and classes, and its presentation
+    style, the sequence of the elements directly inside it."""
+
+    __slots__ = ("parent", "path", "depth", "style", "bare")
+
+    def __init__(self, parent: int, path: str, depth: int):
+        self.parent, self.path, self.depth = parent, path, depth
+        self.style: list[str] = []
+        self.bare = True
+
+
+def page_view(page: str | None) -> tuple[str, list[LineView], list[Branch]]:
+    """The page title, its body lines with branch and links, and its branches.
 
     A branch is the innermost open container element that holds block
     elements; a container of bare text counts as a paragraph of the branch
@@ -75,10 +90,10 @@ def page_view(page: str | None) -> tuple[str, list[LineView]]:
     list items end at the next block element; a close tag closes everything
     opened after its partner."""
     title, in_title, in_head = "", False, False
-    stack: list[tuple[str, int, str]] = [("body", 0, "body")]
-    n_branch = 0
-    parent, is_leaf = {0: 0}, {0: False}
-    leaf = ("", "")
+    stack: list[tuple[str, int]] = [("body", 0)]
+    branches = [Branch(0, "body", 0)]
+    branches[0].bare = False
+    leaf = ""
     link = False
     rows: list[LineView] = []
     no, cur = 1, None
@@ -97,27 +112,32 @@ def page_view(page: str | None) -> tuple[str, list[LineView]]:
             elif tag == "a":
                 link = not closing and bool(_HREF.search(attrs))
             elif tag in BRANCHES:
-                leaf = ("", "")
+                leaf = ""
                 link = False
                 if not closing:
                     if tag != "body":
-                        n_branch += 1
                         cls = _CLASS.search(attrs)
-                        parent[n_branch], is_leaf[n_branch] = stack[-1][1], True
-                        is_leaf[stack[-1][1]] = False
-                        stack.append((tag, n_branch, f"{tag}.{cls.group(1) if cls else ''}"))
-                elif any(t == tag for t, _, _ in stack[1:]):
+                        name = f"{tag}.{cls.group(1) if cls else ''}"
+                        above = branches[stack[-1][1]]
+                        above.bare = False
+                        above.style.append(name)
+                        if above.depth < MAX_DEPTH:
+                            branches.append(Branch(stack[-1][1], f"{above.path}/{name}", above.depth + 1))
+                            stack.append((tag, len(branches) - 1))
+                        else:
+                            stack.append((tag, stack[-1][1]))
+                elif any(t == tag for t, _ in stack[1:]):
                     while stack[-1][0] != tag:
                         stack.pop()
                     stack.pop()
             elif tag in HEADINGS or tag in ("p", "li", "blockquote", "td", "span", "button", "dd", "dt"):
                 if closing:
                     if tag != "span":
-                        leaf = ("", "")
+                        leaf = ""
                 else:
-                    is_leaf[stack[-1][1]] = False
-                    cls = _CLASS.search(attrs)
-                    leaf = (tag, f"{tag}.{cls.group(1) if cls else ''}")
+                    branches[stack[-1][1]].bare = False
+                    branches[stack[-1][1]].style.append(tag)
+                    leaf = tag
             if "\n" in s:
                 no += s.count("\n")
                 cur = None
@@ -136,17 +156,14 @@ def page_view(page: str | None) -> tuple[str, list[LineView]]:
         if cur is None:
             if not text.strip():
                 continue
-            tag, number, path = stack[-1]
-            cur = LineView(
-                no, number, f"{path}>{leaf[1]}", leaf[0] in HEADINGS,
-                any(t in SEMANTIC_SIDE for t, _, _ in stack),
-            )
+            cur = LineView(no, stack[-1][1], leaf in HEADINGS)
             rows.append(cur)
         cur.text += text
         if link:
             cur.link_chars += len(text.strip())
     for r in rows:
-        if is_leaf[r.branch] and parent[r.branch]:
-            r.branch = parent[r.branch]
+        own = branches[r.branch]
+        if own.bare and own.parent:
+            r.branch = own.parent
         r.text = _SPACE.sub(" ", r.text).strip()
-    return _SPACE.sub(" ", _html.unescape(title)).strip(), [r for r in rows if r.text]
+    return _SPACE.sub(" ", _html.unescape(title)).strip(), [r for r in rows if r.text], branches

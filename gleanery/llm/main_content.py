@@ -1,25 +1,31 @@
 """Main body of web pages by a site style tree.
 
-Pages of one host are merged into a tree of presentation nodes (the path of
-container and element styles) and content nodes (line signatures: the visible
-text with names and numbers masked). The importance of a content node is one
-minus the normalised entropy of its spread over the host's pages,
-``1 - log(k) / log(m)`` for a signature on k of m pages: 1 for text of a single
-page, 0 for text of every page. The same measure over the pages of all hosts
-judges signatures on hosts with few pages; a node takes the lower of both. The
-importance of a presentation node is the mean importance of its lines.
-
-On each page the branch of the page's own heading is kept, with further
-branches of important prose; branches that open with an unimportant heading
-(comments, further reading), semantic side branches and branches of links are
-removed, as are unimportant lines inside the kept branches. A page whose kept
-branch consists mainly of linked lines only lists other pieces and has no main
-body.
-
-Counts are map-side combined per (host, signature) and per (host, style);
-nothing is gathered but the lines of one page. Defined results: null, empty or
-unparsable html gives no line; pages without host are judged with the others
-without host; redelivered pages count once.
+Pages of one host are merged into a tree. Its element nodes are the containers
+by their path of tags and classes; the style nodes of an element are the
+different sequences of elements that pages put directly inside it; its leaves
+are the lines. The importance of a line is one minus the entropy of its
+signature (the visible text with names and numbers masked) over the host's
+pages, ``1 - log(k) / log(m)`` for a signature on k of m pages: 1 for text of a
+single page, 0 for text of every page. The same measure over the pages of all
+hosts judges signatures on hosts with few pages; a line takes the lower of both.
+The importance of an element by itself is the entropy of its styles over the
+pages, base the number of pages: 0 when all pages build it alike, 1 when each
+builds its own. Its composite importance is found bottom-up:
+``(1 - g ** l) * own + g ** l * mean of what is inside it`` for l styles, as a
+choice of many styles says more than one of few.
+
+Branches of low composite importance are pruned from each page, line by line of
+their own. Of what is left the branch of the page's own heading is kept, with
+further branches of important prose; branches that open with an unimportant
+heading (comments, further reading) and branches of links are removed, as are unimportant lines inside the kept branches. A page
+whose kept branch consists mainly of linked lines only lists other pieces and
+has no main body.
+
+Counts are map-side combined per (host, signature) and per (host, element,
+style); nothing is gathered but the lines of one page, and the tree is folded
+level by level with joins. Defined results: null, empty or unparsable html gives
+no line; pages without host are judged with the others without host; redelivered
+pages count once.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,10 +44,10 @@ from gleanery.session import cut_lineage
 
 #: Content nodes up to this importance are boilerplate.
 LOW_CONTENT = 0.6
-#: Presentation nodes up to this mean importance are boilerplate.
-LOW_STYLE = 0.3
-#: Lines of such nodes go unless their own importance is above this.
-SURE_CONTENT = 0.9
+#: Branches up to this composite importance are pruned.
+LOW_BRANCH = 0.4
+#: Weight of what is inside an element against its own styles, per style.
+INSIDE = 0.9
 #: A line whose text is linked from this share on is a link, if it does not
 #: end as a sentence does.
 LINK_SHARE = 0.9
@@ -69,25 +76,33 @@ _LINES = T.StructType(
         T.StructField("raw_path", T.StringType()),
         T.StructField("line_no", T.ArrayType(T.IntegerType())),
         T.StructField("branch", T.ArrayType(T.IntegerType())),
-        T.StructField("sig", T.ArrayType(T.StringType())),
-        T.StructField("style", T.ArrayType(T.StringType())),
+        T.StructField("sig", T.ArrayType(T.LongType())),
+        T.StructField("node", T.ArrayType(T.LongType())),
         T.StructField("n_words", T.ArrayType(T.IntegerType())),
         T.StructField("flags", T.ArrayType(T.IntegerType())),
+        T.StructField("path", T.ArrayType(T.LongType())),
+        T.StructField("above", T.ArrayType(T.LongType())),
+        T.StructField("depth", T.ArrayType(T.IntegerType())),
+        T.StructField("style", T.ArrayType(T.LongType())),
     ]
 )
 #: Bits of flags.
-FIRST, HEADING, LINK, TITLE, SHOUTED, SIDE = 1, 2, 4, 8, 16, 32
+FIRST, HEADING, LINK, TITLE, SHOUTED = 1, 2, 4, 8, 16
 
 
 def _plain(text: str) -> str:
     return " ".join(_WORD.findall(text.lower()))
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for path, page in zip(pdf["raw_path"], pdf["html"]):
-            title, rows = page_view(page)
+            title, rows, branches = page_view(page)
             title = _plain(title)
             seen: set[str] = set()
             sigs, flags = [], []
@@ -97,33 +112,34 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 flag = FIRST * (sig not in seen) + HEADING * r.heading + LINK * is_link
                 if not is_link and len(plain) >= 8 and title.startswith(plain):
                     flag += TITLE
-                flag += SHOUTED * is_shouted(r.text) + SIDE * r.side
+                flag += SHOUTED * is_shouted(r.text)
                 seen.add(sig)
                 sigs.append(sig)
                 flags.append(flag)
+            names = [_hash(b.path) for b in branches]
+            # a page uses each style of an element once, however often it repeats it
+            used = dict.fromkeys((names[i], names[b.parent], b.depth, _hash(" ".join(b.style))) for i, b in enumerate(branches))
             out.append(
                 (
-                    path, [r.no for r in rows], [r.branch for r in rows], sigs,
-                    [r.style for r in rows], [len(_WORD.findall(r.text)) for r in rows], flags,
+                    path, [r.no for r in rows], [r.branch for r in rows], [_hash(x) for x in sigs],
+                    [names[r.branch] for r in rows], [len(_WORD.findall(r.text)) for r in rows], flags,
+                    *([u[i] for u in used] for i in range(4)),
                 )
             )
         yield pd.DataFrame(out, columns=_LINES.names)
 
 
 def page_nodes(web_pages: DataFrame, web_raw: DataFrame) -> DataFrame:
-    """One row per fetched page: doc_id, host and its lines as structs."""
+    """One row per fetched page: doc_id, host, its lines and the styles of its
+    elements as structs."""
     parsed = (
         web_raw.select("raw_path", "html")
         .where(F.col("html").isNotNull() & F.col("raw_path").isNotNull())
         .mapInPandas(_parse, _LINES)
         .select(
             "raw_path",
-            F.arrays_zip(
-                "line_no", "branch",
-                F.transform("sig", lambda s: F.xxhash64(s)).alias("sig"),
-                F.transform("style", lambda s: F.xxhash64(s)).alias("style"),
-                "n_words", "flags",
-            ).alias("nodes"),
+            F.arrays_zip("line_no", "branch", "sig", "node", "n_words", "flags").alias("nodes"),
+            F.arrays_zip("path", "above", "depth", "style").alias("elements"),
         )
     )
     pages = (
@@ -135,7 +151,7 @@ def page_nodes(web_pages: DataFrame, web_raw: DataFrame) -> DataFrame:
         .where(F.col("doc_id").isNotNull() & F.col("raw_path").isNotNull())
         .distinct()
     )
-    return pages.join(parsed, "raw_path").select("doc_id", "host", "nodes")
+    return pages.join(parsed, "raw_path").select("doc_id", "host", "nodes", "elements")
 
 
 def _importance(k: str, m: str):
@@ -159,6 +175,40 @@ def content_importance(lines: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def branch_importance(elements: DataFrame, judged: DataFrame) -> DataFrame:
+    """host, node, composite of every element of the hosts' trees.
+
+    ``elements`` has a row per page and style it uses (host, path, above, depth,
+    style), ``judged`` the lines with their node and importance."""
+    uses = elements.groupBy("host", "path", "above", "depth", "style").agg(F.count(F.lit(1)).alias("k"))
+    own = uses.groupBy("host", "path", "above", "depth").agg(
+        F.sum("k").alias("m"), F.count(F.lit(1)).alias("l"), F.sum(F.col("k") * F.ln("k")).alias("klnk")
+    ).withColumn("own", F.when(F.col("m") > 1, 1 - F.col("klnk") / (F.col("m") * F.ln("m"))).otherwise(1.0))
+    leaves = judged.groupBy("host", F.col("node").alias("path")).agg(F.sum("importance").alias("leaf_sum"), F.count(F.lit(1)).alias("n_leaves"))
+    tree = cut_lineage(own.join(leaves, ["host", "path"], "left").fillna(0, ["leaf_sum", "n_leaves"]))
+    deepest = tree.agg(F.max("depth")).first()[0]
+    below, levels = None, None
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        level = tree.where(F.col("depth") == depth)
+        if below is not None:
+            inside = below.groupBy("host", F.col("above").alias("path")).agg(
+                F.sum(F.col("composite") * F.col("m")).alias("inner_sum"), F.sum("m").alias("n_inner")
+            )
+            level = level.join(inside, ["host", "path"], "left").fillna(0, ["inner_sum", "n_inner"])
+        else:
+            level = level.withColumn("inner_sum", F.lit(0.0)).withColumn("n_inner", F.lit(0))
+        size = F.col("n_leaves") + F.col("n_inner")
+        mean = F.when(size > 0, (F.col("leaf_sum") + F.col("inner_sum")) / size).otherwise(F.col("own"))
+        weight = F.pow(F.lit(INSIDE), F.col("l"))
+        below = cut_lineage(level.select(
+            "host", "path", "above", "m", ((1 - weight) * F.col("own") + weight * mean).alias("composite")
+        ))
+        levels = below if levels is None else levels.unionByName(below)
+    if levels is None:
+        levels = tree.select("host", "path", "above", "m", F.lit(1.0).alias("composite"))
+    return levels.select("host", F.col("path").alias("node"), "composite")
+
+
 _KEPT = T.StructType(
     [T.StructField("doc_id", T.StringType()), T.StructField("line_no", T.IntegerType())]
 )
@@ -167,7 +217,8 @@ _KEPT = T.StructType(
 def keep_lines(nodes) -> list[int]:
     """Line numbers of the main body of one page.
 
-    ``nodes`` are (line_no, branch, n_words, flags, importance, style_importance)."""
+    ``nodes`` are (line_no, branch, n_words, flags, importance, composite
+    importance of the branch)."""
     nodes = sorted(nodes, key=lambda x: x[0])
     branches: dict[int, list] = {}
     for x in nodes:
@@ -176,7 +227,7 @@ def keep_lines(nodes) -> list[int]:
     def low(x) -> bool:
         if x[3] & TITLE:
             return False
-        if x[4] <= LOW_CONTENT or (x[5] <= LOW_STYLE and x[4] <= SURE_CONTENT):
+        if x[4] <= LOW_CONTENT or x[5] <= LOW_BRANCH:
             return True
         return bool(x[3] & SHOUTED and not x[3] & HEADING)
 
@@ -187,7 +238,7 @@ def keep_lines(nodes) -> list[int]:
         return sum(x[2] for x in prose(xs))
 
     titled = [b for b, xs in branches.items() if any(x[3] & TITLE for x in xs)]
-    open_ok = [b for b, xs in branches.items() if not low(xs[0]) and not xs[0][3] & SIDE]
+    open_ok = [b for b, xs in branches.items() if not low(xs[0])]
     if titled:
         main = max(titled, key=lambda b: (words(branches[b]), -b))
     elif open_ok:
@@ -195,7 +246,7 @@ def keep_lines(nodes) -> list[int]:
     else:
         return []
     kept = [main] + [
-        b for b in open_ok if b != main and b > main and words(branches[b]) >= 0.2 * words(branches[main])
+        b for b in open_ok if b != main and b > main and words(branches[b])
         and len(prose(branches[b])) > sum(bool(x[3] & LINK) for x in branches[b])
     ]
     lines = [x for b in kept for x in branches[b]]
@@ -211,7 +262,7 @@ def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, nodes in zip(pdf["doc_id"], pdf["nodes"]):
             got = keep_lines(
                 [
-                    (x["line_no"], x["branch"], x["n_words"], x["flags"], x["importance"], x["style_importance"])
+                    (x["line_no"], x["branch"], x["n_words"], x["flags"], x["importance"], x["composite"])
                     for x in nodes
                 ]
             )
@@ -230,13 +281,13 @@ def main_lines(web_pages: DataFrame, web_raw: DataFrame) -> DataFrame:
     judged = lines.join(content, ["host", "sig"], "left").withColumn(
         "importance", F.coalesce("importance", F.lit(1.0))
     )
-    styles = judged.groupBy("host", "style").agg(F.avg("importance").alias("style_importance"))
+    tree = branch_importance(pages.select("host", F.inline("elements")), judged)
     return (
-        judged.join(styles, ["host", "style"])
+        judged.join(tree, ["host", "node"])
         .groupBy("doc_id")
         .agg(
             F.collect_list(
-                F.struct("line_no", "branch", "n_words", "flags", "importance", "style_importance")
+                F.struct("line_no", "branch", "n_words", "flags", "importance", "composite")
             ).alias("nodes")
         )
         .mapInPandas(_decide, _KEPT)

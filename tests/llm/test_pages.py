@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 from gleanery.llm import main_content as mc
 from gleanery.llm import repeated_lines as rl
 from gleanery.llm.html_lines import line_key, page_view, visible_lines
@@ -36,7 +40,7 @@ def test_visible_lines_keep_numbers_over_tags_and_scripts():
 
 
 def test_leaf_containers_are_paragraphs():
-    _, rows = page_view('<body>\n<div class="m">\n<div class="p">one\ntwo</div>\n<p>three</p>\n</div>')
+    _, rows, _ = page_view('<body>\n<div class="m">\n<div class="p">one\ntwo</div>\n<p>three</p>\n</div>')
     assert [r.no for r in rows] == [3, 4, 5] and len({r.branch for r in rows}) == 1
 
 
@@ -80,3 +84,23 @@ def test_index_pages_and_empty_pages_have_no_body(spark):
     got = {r[0] for r in mc.main_lines(*frames(spark, pages, raw)).collect()}
     assert not got & {"dx", "dn", "de"}
     assert mc.main_lines(*frames(spark, [], [])).count() == 0
+
+
+def test_style_tree_prunes_what_all_pages_build_alike(spark):
+    """Side texts that no line count betrays: every page's side box holds lines of
+    its own, but all pages build the box alike, and the piece each in its way."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    pages, raw = [], []
+    for i in range(40):
+        side = "".join(f"<p>{' '.join(word() for _ in range(4))}\n" for _ in range(3))
+        body = "".join(f"<{rnd.choice(['p', 'li', 'h2'])}>{' '.join(word() for _ in range(9))}\n" for _ in range(rnd.randint(5, 12)))
+        raw.append((f"r{i}", f"<body>\n<div class=box>\n{side}</div>\n<div class=piece>\n<p>{word()} {word()}\n{body}</div>", "x"))
+        pages.append((f"d{i}", "S", f"r{i}", "", ""))
+    got = {(r["doc_id"], r["line_no"]) for r in mc.main_lines(*frames(spark, pages, raw)).collect()}
+    nos = {n for d, n in got if d == "d7"}
+    assert nos == set(range(8, 8 + raw[7][1].split("piece>")[1].count("\n<") - 1))
+    nodes = mc.page_nodes(*frames(spark, pages, raw))
+    lines = nodes.select("host", F.inline("nodes")).withColumn("importance", F.lit(1.0))
+    tree = [r["composite"] for r in mc.branch_importance(nodes.select("host", F.inline("elements")), lines.where("false")).collect()]
+    assert min(tree) < 0.2 and max(tree) > 0.8  # by their styles alone
