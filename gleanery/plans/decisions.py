@@ -32,10 +32,6 @@ TEXTS = {
     "declared_domains": f"""-- C4 U14: declared topics with their items, empty ones count as none
         WITH {_TAGS}, d AS (SELECT 'pricing' AS topic UNION ALL SELECT 'hiring' UNION ALL SELECT 'astronomy')
         SELECT d.topic, CAST(count(tags.item_id) AS BIGINT) AS n, CASE WHEN count(tags.item_id) = 0 THEN 'none' ELSE 'some' END AS level FROM d LEFT JOIN tags ON tags.topic = d.topic GROUP BY d.topic""",
-    "question_leakage": """-- F15 X25: word overlap of titles with their text's first words, in percent
-        WITH d AS (SELECT doc_id, [[distinct:[[findall:lower(title)¦'[a-z0-9]+']]]] AS q, lower(text) AS t FROM {documents} WHERE title IS NOT NULL AND text IS NOT NULL),
-        w AS (SELECT doc_id, [[size:q]] AS n, [[rows:q]] AS w, t FROM d)
-        SELECT doc_id, CAST([[div:sum(CASE WHEN position(w IN t) > 0 THEN 1 ELSE 0 END) * 100¦max(n)]] AS BIGINT) AS overlap_pct, max(n) BETWEEN 6 AND 45 AS fits FROM w GROUP BY doc_id""",
 }
 QUERIES, SQL = plans(TEXTS)
 

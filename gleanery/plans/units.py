@@ -25,10 +25,6 @@ TEXTS = {
         c AS (SELECT doc_id, u.start_ms AS s, u.end_ms AS e FROM u WHERE u.start_ms IS NOT NULL AND u.end_ms > u.start_ms),
         m AS (SELECT doc_id, [[rows:[[range:[[div:s¦120000]]¦[[div:e - 1¦120000]]]]]] AS moment FROM c)
         SELECT doc_id, CAST(moment AS BIGINT) AS moment, CAST(count(*) AS BIGINT) AS n_cues FROM m GROUP BY doc_id, moment""",
-    "nearest_snap": """-- J9 W37: item starts snapped to the nearest half minute, made contiguous
-        WITH i AS (SELECT DISTINCT item_id, doc_id, start_ms FROM {items} WHERE doc_id NOT IN ('', '-1') AND start_ms >= 0),
-        s AS (SELECT item_id, doc_id, [[div:start_ms + 15000¦30000]] * 30000 AS snapped FROM i)
-        SELECT item_id, doc_id, snapped, lead(snapped) OVER (PARTITION BY doc_id ORDER BY snapped, item_id) AS ends FROM s""",
     "corpus_stats": """-- A2 A3: items, documents, speakers and years by kind
         SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, CAST(count(DISTINCT speaker) AS BIGINT) AS n_speakers,
           min(CASE WHEN year > 0 THEN year END) AS first_year, max(year) AS last_year
@@ -50,8 +46,6 @@ TEXTS = {
           SELECT DISTINCT item_id, trim([[replace:lower(text)¦'[^a-z0-9]+'¦' ']]) AS k FROM {items} WHERE text IS NOT NULL) a) b WHERE rn = 1""",
     "page_links": """-- S2 S5 N13: internal links of a page by their first path part
         SELECT part, CAST(count(*) AS BIGINT) AS n FROM (SELECT [[rows:[[findall:lower(html)¦'href="/[a-z-]+']]]] AS part FROM {web_raw}) l GROUP BY part""",
-    "own_words": """-- X20: words of all titles with their counts
-        SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT [[rows:[[findall:lower(title)¦'[a-z]+']]]] AS word FROM {documents} WHERE title IS NOT NULL) w GROUP BY word""",
     "json_getters": """-- M16 K8 S12: titles held in the JSON of books and revisions of nodes
         SELECT CAST([[json:props¦'$.rev']] AS BIGINT) AS rev, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT node_id, props FROM {nodes} WHERE props LIKE '%rev%') p GROUP BY 1""",
     "index_scan": """-- S14 S15 W16 K7: projected scan of the item index with defaults for missing cells
