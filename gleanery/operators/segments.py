@@ -5,6 +5,10 @@ A unit sequence belongs to one document; the folds run inside one array value
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,34 +64,30 @@ def chunk_units(units: DataFrame, budget: int = 550, overlap: float = 0.18) -> D
 
     ``units`` has doc_id, pos, text; the result doc_id, chunk_no, first_pos,
     last_pos, n_tokens."""
-    counted = units.select("doc_id", "pos", est_tokens(F.col("text")).alias("t"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        out, cur, fresh = [], [], False
-        for pos, t in zip(pdf["pos"], pdf["t"]):
-            if cur and sum(x[1] for x in cur) + t > budget:
-                if fresh:
-                    out.append(cur)
-                tail, size = [], 0
-                for x in reversed(cur[1:]):
-                    if size + x[1] > overlap * budget:
-                        break
-                    tail.insert(0, x)
-                    size += x[1]
-                cur, fresh = tail, False
-            cur = cur + [(pos, t)]
-            fresh = True
-        if cur and fresh:
-            out.append(cur)
-        return pd.DataFrame(
-            [(pdf["doc_id"].iloc[0], n, c[0][0], c[-1][0], sum(x[1] for x in c)) for n, c in enumerate(out)],
-            columns=["doc_id", "chunk_no", "first_pos", "last_pos", "n_tokens"],
-        )
-
-    return counted.groupBy("doc_id").applyInPandas(
-        fold, "doc_id long, chunk_no int, first_pos long, last_pos long, n_tokens long"
+    counted = (
+        units.select("doc_id", "pos", est_tokens(F.col("text")).alias("t"))
+        .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("u"))
+        .select("doc_id", F.col("u.pos").alias("pos"), F.col("u.t").alias("t"))
     )
+    limit = overlap * budget
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, pos, sizes in zip(pdf["doc_id"], pdf["pos"], pdf["t"]):
+                sums = [0, *accumulate(sizes.tolist())]  # sums[j] - sums[i]: size of units i to j - 1
+                first, number = 0, 0
+                for i in range(1, len(pos)):
+                    if sums[i + 1] - sums[first] > budget:
+                        rows.append((doc, number, pos[first], pos[i - 1], sums[i] - sums[first]))
+                        number += 1
+                        # the longest tail within the overlap, but never the whole chunk
+                        first = max(first + 1, bisect_left(sums, sums[i] - limit, first + 1, i + 1))
+                if len(pos):
+                    rows.append((doc, number, pos[first], pos[-1], sums[-1] - sums[first]))
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "first_pos", "last_pos", "n_tokens"])
+
+    return counted.mapInPandas(fold, "doc_id long, chunk_no int, first_pos long, last_pos long, n_tokens long")
 
 
 def greedy_windows(units: DataFrame, budget: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,9 +77,10 @@ def _pairs(spark, sf) -> DataFrame:
 
 
 def isotonic_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Knots of the calibration curve of similarity against label match."""
+    """Knots of the calibration curve of similarity against label match, in millionths."""
     knots = dec.isotonic_fit(_pairs(spark, sf), "cosine", "y") or []
-    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(knots)], "knot int, x double, y double")
+    micro = [(i, math.floor(x * 1e6 + 0.5), math.floor(y * 1e6 + 0.5)) for i, (x, y) in enumerate(knots)]
+    return spark.createDataFrame(micro, "knot int, x_micro long, y_micro long")
 
 
 def calibrated_probability(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +106,8 @@ def brier_by_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 def calibration_bins(spark: SparkSession, sf: str) -> DataFrame:
     """15 left-open bins of the similarity."""
-    return dec.calibration_error(_pairs(spark, sf).withColumn("p", F.greatest(F.lit(0.0), "cosine")), "p", "y")
+    bins = dec.calibration_error(_pairs(spark, sf).withColumn("p", F.greatest(F.lit(0.0), "cosine")), "p", "y")
+    return bins.select("bin", "n", *[F.floor(F.col(c) * 1e6 + 0.5).cast("long").alias(f"{c}_micro") for c in ("mean_p", "mean_y")])
 
 
 def leader_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,3 +154,31 @@ SQL |= {
         FROM (SELECT vec_id AS qid, label FROM embeddings WHERE vec_id % 100 = 0) q LEFT JOIN rc ON rc.qid = q.qid AND rc.label = q.label""",
     "calibrated_probability": f"WITH {_NB} SELECT qid, vec_id, CAST(floor(({_P}) * 1e6) AS BIGINT) AS p_micro FROM nb",
 }
+_PAIRS = f"{_NB}, pr AS (SELECT qid, cosine AS s, CASE WHEN label = qlabel THEN 1 ELSE 0 END AS y FROM nb)"
+
+
+def _knots(rows: str) -> str:
+    """Bins of equal counts and the non-decreasing fit as a max of mins."""
+    return f"""ra AS (SELECT s, y, row_number() OVER (ORDER BY s, y) - 1 AS r, count(*) OVER () AS n FROM {rows}),
+    nb_ AS (SELECT *, least(16, greatest(2, n // 10)) AS k FROM ra),
+    bi AS (SELECT s, y, len(list_filter(range(1, k), lambda i: r >= CAST(round_even(i * n / k, 0) AS BIGINT))) AS bin FROM nb_),
+    bn AS (SELECT bin, avg(s) AS x, avg(y) AS y, count(*) AS n, row_number() OVER (ORDER BY bin) AS i FROM bi GROUP BY bin),
+    mm AS (SELECT a.i, b.i AS k, (SELECT sum(y * n) / sum(n) FROM bn c WHERE c.i BETWEEN a.i AND b.i) AS m FROM bn a JOIN bn b ON b.i >= a.i),
+    ft AS (SELECT bn.i, (SELECT max(low) FROM (SELECT mm.i AS j, min(m) AS low FROM mm WHERE mm.i <= bn.i AND mm.k >= bn.i GROUP BY mm.i)) AS fit FROM bn),
+    lv AS (SELECT bn.*, fit, sum(CASE WHEN prev IS NULL OR abs(fit - prev) > 1e-8 + 1e-5 * 0 THEN 1 ELSE 0 END) OVER (ORDER BY bn.i) AS level
+      FROM bn JOIN (SELECT *, lag(fit) OVER (ORDER BY i) AS prev FROM ft) ft ON ft.i = bn.i),
+    pt AS (SELECT level, sum(x * n) / sum(n) AS x, sum(y * n) / sum(n) AS y FROM lv GROUP BY level)"""
+
+
+SQL |= {
+    "isotonic_fit": f"WITH {_PAIRS}, {_knots('pr')} SELECT CAST(row_number() OVER (ORDER BY x) - 1 AS INTEGER) AS knot, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS x_micro, CAST(floor(y * 1e6 + 0.5) AS BIGINT) AS y_micro FROM pt",
+    "calibration_bins": f"""WITH {_PAIRS}, p AS (SELECT greatest(0, s) AS p, y FROM pr)
+        SELECT CAST(greatest(0, ceil(p * 15) - 1) AS INTEGER) AS bin, count(*) AS n, CAST(floor(avg(p) * 1e6 + 0.5) AS BIGINT) AS mean_p_micro, CAST(floor(avg(y) * 1e6 + 0.5) AS BIGINT) AS mean_y_micro FROM p GROUP BY ALL""",
+    "paired_statistics": f"""WITH {_PAIRS}, v AS (SELECT qid, avg(y) AS v, CAST(floor(avg(y) * 1e6 + 0.5) AS BIGINT) AS micro FROM pr GROUP BY qid),
+        rp AS (SELECT v.*, r, CAST('0x' || substr(sha256('42:' || r || ':' || qid), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM v, range(1, 1001) t(r)),
+        mn AS (SELECT r, sum(w * micro) / sum(w) / 1e6::DOUBLE AS m FROM (SELECT r, micro, {' + '.join(f'CASE WHEN u >= {b!r}::DOUBLE THEN 1 ELSE 0 END' for b in dec.POISSON_BOUNDS)} AS w FROM rp) GROUP BY r HAVING sum(w) > 0),
+        ci AS (SELECT list_sort(list(m)) AS ms FROM mn), c AS (SELECT count(*) AS n, count(*) FILTER (v > 0.1) AS wins FROM v),
+        p AS (SELECT least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) AS p FROM c, range(0, 100000) t(i) WHERE i <= least(wins, n - wins))
+        SELECT n, CAST(floor(ms[CAST(floor(len(ms) * 0.025) AS BIGINT) + 1] * 1e6 + 0.5) AS BIGINT) AS low_micro,
+          CAST(floor(ms[least(len(ms) - 1, CAST(floor(len(ms) * 0.975) AS BIGINT)) + 1] * 1e6 + 0.5) AS BIGINT) AS high_micro, CAST(floor(p * 1e6 + 0.5) AS BIGINT) AS p_micro FROM c, ci, p""",
+}

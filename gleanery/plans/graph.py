@@ -85,3 +85,9 @@ SQL["graph_bfs"] = """
     h2 AS (SELECT DISTINCT e.* FROM e WHERE src IN (SELECT dst FROM f1))
     SELECT hop, relation, CAST(count(*) AS BIGINT) AS n_edges FROM (
       SELECT 1 AS hop, * FROM h1 UNION ALL SELECT 2, * FROM h2) GROUP BY ALL"""
+SQL["graph_components"] = """
+    WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(src, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS a, lower(trim(dst, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS b
+      FROM edges WHERE invalid_at IS NULL AND relation = 'contradicts' AND trim(src) <> '' AND trim(dst) <> ''),
+    s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+    r(node, reached) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.reached)
+    SELECT node, min(reached) AS component FROM r GROUP BY node"""

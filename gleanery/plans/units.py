@@ -195,3 +195,42 @@ SQL["index_fingerprint"] = """WITH v AS (SELECT doc_id, max(version) AS version
       FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id),
     p AS (SELECT CAST(floor(doc_id / 10000) AS BIGINT) AS part, sha256(string_agg(line, chr(10) ORDER BY doc_id, line)) AS hash FROM r GROUP BY ALL)
     SELECT sha256(string_agg(hash, chr(10) ORDER BY part)) AS fingerprint FROM p"""
+_FLAT = f"""{_UNITS}, z AS (SELECT doc_id, pos, {_TOK} AS t FROM u),
+  d AS (SELECT doc_id, list(pos ORDER BY pos) AS pos, list(t ORDER BY pos) AS t FROM z GROUP BY doc_id),
+  cum AS (SELECT doc_id, pos, t, list_transform(range(0, len(t) + 1), lambda k: coalesce(list_sum(t[1:k]), 0)) AS c FROM d)"""
+SQL["chunk_overlap"] = f"""WITH RECURSIVE {_FLAT}, r(doc_id, i, a, n, e, ea) AS (
+    SELECT doc_id, 1, 1, 0, false, 0 FROM cum
+    UNION ALL
+    SELECT r.doc_id, r.i + 1, CASE WHEN full_ THEN list_min(list_filter(range(r.a + 1, r.i + 2), lambda j: c[r.i + 1] - c[j] <= 99)) ELSE r.a END,
+      CASE WHEN full_ THEN r.n + 1 ELSE r.n END, full_, r.a
+    FROM (SELECT r.*, c, t, c[r.i + 2] - c[r.a] > 550 AS full_ FROM r JOIN cum USING (doc_id) WHERE r.i < len(t)) r),
+  f AS (SELECT doc_id, n - 1 AS k, ea AS a, i - 1 AS b FROM r WHERE e UNION ALL SELECT doc_id, n, a, i FROM r JOIN cum USING (doc_id) WHERE i = len(t))
+  SELECT f.doc_id, CAST(k AS INTEGER) AS chunk_no, pos[a] AS first_pos, pos[b] AS last_pos, CAST(c[b + 1] - c[a] AS BIGINT) AS n_tokens FROM f JOIN cum USING (doc_id)"""
+
+
+def _greedy(budget: int) -> str:
+    return f"""{_FLAT}, r(doc_id, i, size, no) AS (
+    SELECT doc_id, 1, t[1], 0 FROM cum
+    UNION ALL
+    SELECT r.doc_id, r.i + 1, CASE WHEN r.size > 0 AND r.size + t[r.i + 1] > {budget} THEN t[r.i + 1] ELSE r.size + t[r.i + 1] END,
+      CASE WHEN r.size > 0 AND r.size + t[r.i + 1] > {budget} THEN r.no + 1 ELSE r.no END FROM r JOIN cum USING (doc_id) WHERE r.i < len(t))"""
+
+
+SQL["parent_windows"] = f"WITH RECURSIVE {_greedy(2000)} SELECT r.doc_id, pos[i] AS pos, CAST(no AS INTEGER) AS window_no FROM r JOIN cum USING (doc_id)"
+SQL["extraction_windows"] = f"""WITH RECURSIVE {_greedy(8000)}, n AS (SELECT doc_id, no AS window_no, count(*) AS n_units FROM r GROUP BY ALL)
+    SELECT doc_id, CAST(window_no AS INTEGER) AS window_no, n_units, CAST(greatest(2, least(40, round_even(n_units / 4, 0))) AS INTEGER) AS item_budget FROM n"""
+SQL["long_unit_split"] = rf"""WITH {_UNITS}, w AS (SELECT doc_id, pos, len(list_filter(string_split_regex(trim(text), '[\s\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{85}}]+'), lambda x: x <> '')) AS n FROM u),
+    p AS (SELECT *, greatest(1, CAST(ceil(n / 40) AS INTEGER)) AS parts FROM w)
+    SELECT doc_id, pos, part, CAST(greatest(0, least(ceil(n / parts), n - (part - 1) * ceil(n / parts))) AS BIGINT) AS n_words
+    FROM (SELECT *, unnest(range(1, parts + 1)) AS part FROM p)"""
+SQL["rolling_dedup"] = r"""WITH t AS (SELECT DISTINCT doc_id, version, utterances FROM transcripts WHERE utterances IS NOT NULL),
+    c AS (SELECT doc_id, i - 1 AS cue_no, utterances[i] AS u FROM t, range(1, 100000) r(i) WHERE i <= len(utterances)),
+    w AS (SELECT doc_id, cue_no, u.start_ms AS s, list_filter(string_split_regex(trim(u.text), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS w
+      FROM c WHERE u.start_ms IS NOT NULL AND u.end_ms IS NOT NULL),
+    p AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY s, cue_no) AS b FROM w WHERE len(w) > 0),
+    k AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(w), len(b)) + 1), lambda k: b[len(b) - k + 1:] = w[1:k])), 0) AS n FROM p)
+    SELECT doc_id, CAST(cue_no AS INTEGER) AS cue_no, CAST(n AS INTEGER) AS n_dropped, CAST(length(array_to_string(w[n + 1:], ' ')) AS INTEGER) AS n_chars FROM k"""
+SQL["name_keys"] = r"""SELECT DISTINCT series, array_to_string(list_transform(list_filter(string_split(regexp_replace(replace(lower(series), '&', ' and '), '[^a-z0-9 ]+', ' ', 'g'), ' '), lambda w: w <> ''),
+      lambda w: CASE WHEN regexp_matches(w, '..ies$') THEN w[:-4] || 'y' WHEN w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') AND length(w) > 2 THEN w[:-2] ELSE w END), ' ') AS name_key,
+    regexp_replace(regexp_replace(lower(trim(series)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+    trim(regexp_replace(replace(lower(series), '.', ''), '\s+', ' ', 'g')) AS entity FROM documents WHERE series IS NOT NULL"""
