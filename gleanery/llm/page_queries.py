@@ -55,5 +55,18 @@ WITH pages AS (
 SELECT DISTINCT l.doc_id, l.line_no FROM lines l JOIN often USING (source, k)
 """
 
+_P6_CLEAN = _P6_SQL.split("SELECT DISTINCT l.doc_id, l.line_no FROM lines l JOIN often")[0].rstrip() + r"""
+, gone AS (SELECT DISTINCT l.doc_id, l.line_no FROM lines l JOIN often USING (source, k)),
+shown AS (
+  SELECT p.doc_id, CAST(n.line_no AS INTEGER) AS line_no, trim(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(l, '<!--.*?-->', '', 'g'), '(?i)<script\b[^>]*>.*?</script\s*>', '', 'g'), '<[^>]*>', '', 'g'),
+    '\s+', ' ', 'g')) AS v
+  FROM (SELECT DISTINCT doc_id, raw_path FROM pages WHERE source <> '') p JOIN numbered n USING (raw_path)
+)
+SELECT s.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
+  coalesce(string_agg(v, chr(10) ORDER BY s.line_no) FILTER (g.line_no IS NULL), '') AS text
+FROM shown s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.line_no = s.line_no WHERE v <> '' GROUP BY s.doc_id
+"""
+
 QUERIES = {"p3_found": p3_found, "p3_summary": p3_summary, "p6_found": p6_found, "p6_clean": p6_clean}
-SQL = {"p6_found": _P6_SQL}
+SQL = {"p6_found": _P6_SQL, "p6_clean": _P6_CLEAN}

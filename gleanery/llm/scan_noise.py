@@ -35,11 +35,12 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.session import cut_lineage
+from gleanery.session import cut_lineage, written
 
 #: Character confusions of text recognition, true -> read (fixed values).
 CONFUSIONS = (
@@ -110,16 +111,30 @@ class Letters:
         return total / n
 
 
+_LETTER = np.zeros(256, np.int64)
+_LETTER[ord("a"):ord("z") + 1] = _LETTER[ord("A"):ord("Z") + 1] = np.arange(1, 27)
+
+
 def letter_model(pdf_facts: DataFrame) -> Letters:
-    """Counts of letter pairs over all lines; at most 27 x 27 rows leave Spark."""
-    words = pdf_facts.where("edge_pages IS NOT NULL").select(F.explode(F.flatten(F.map_values(F.map_filter("edge_pages", lambda k, v: v.isNotNull())))).alias("t")).select(
-        F.explode(F.regexp_extract_all(F.lower("t"), F.lit("[a-z]+"), F.lit(0))).alias("w")
-    ).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    padded = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
-    pairs = words.select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(padded, i, F.lit(2)))).alias("p"), "n"
-    ).groupBy("p").agg(F.sum("n").alias("n"))
-    return Letters({(r["p"][0], r["p"][1]): r["n"] for r in pairs.collect()})
+    """Counts of letter pairs over all lines, a blank around each word; at most
+    27 x 27 rows leave Spark."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(27 * 27, np.int64)
+        for batch in batches:
+            text = "\n".join(filter(None, batch.column("t").to_pylist())).encode("utf-8", "replace")
+            code = _LETTER[np.frombuffer(b"\n" + text + b"\n", np.uint8)]
+            total += np.bincount(code[:-1] * 27 + code[1:], minlength=27 * 27)
+        total[0] = 0  # between two blanks
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["pair", "n"])
+
+    texts = pdf_facts.where("edge_pages IS NOT NULL").select(
+        F.explode(F.transform(F.map_values(F.map_filter("edge_pages", lambda k, v: v.isNotNull())), lambda ls: F.array_join(ls, "\n"))).alias("t")
+    )
+    pairs = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    signs = " abcdefghijklmnopqrstuvwxyz"
+    return Letters({(signs[r["pair"] // 27], signs[r["pair"] % 27]): r["n"] for r in pairs.collect()})
 
 
 def is_garbled(line: str, letters_of: Letters | None = None) -> bool:
@@ -338,7 +353,7 @@ class Book:
                 tokens, broken, nxt = [], False, None
                 if kind in ("body", "heading"):
                     broken = kind == "body" and len(text) > 1 and text[-1] in HYPHENS and text[-2].isalnum()
-                    tokens = [w.lower() for w in _TOKEN.findall(text)]
+                    tokens = _TOKEN.findall(text.lower())
                     nxt = follower.get((p, i))
                     if broken and nxt is not None:
                         continued.add(nxt)
@@ -366,8 +381,9 @@ _LINES = T.StructType(
 )
 
 
-def _as_dict(value) -> dict:
-    return dict(value) if value is not None else {}
+_ARROW = [
+    pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(),
+]
 
 
 def _maps() -> list[Column]:
@@ -385,17 +401,17 @@ def book_lines(pdf_facts: DataFrame) -> DataFrame:
     )
     letters = letter_model(pdf_facts)
 
-    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, pages, labels, meta in zip(pdf["path"], pdf["edge_pages"], pdf["page_labels"], pdf["meta"]):
-                rows += [(path, *r) for r in Book(_as_dict(pages), _as_dict(labels), meta, letters).lines()]
-            out = pd.DataFrame(rows, columns=_LINES.names)
-            for c in ("page_no", "line_no", "next_page", "next_line"):
-                out[c] = out[c].astype("Int32")
-            yield out
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in _LINES.names]
+            for path, pages, labels, meta in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = Book(dict(pages or ()), dict(labels or ()), meta, letters).lines()
+                columns[0] += [path] * len(lines)
+                for column, cells in zip(columns[1:], zip(*lines)):
+                    column += cells
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW)], names=_LINES.names)
 
-    return books.mapInPandas(classify, _LINES)
+    return books.mapInArrow(classify, _LINES)
 
 
 def _whole_tokens():
@@ -415,13 +431,19 @@ def word_counts(lines: DataFrame) -> DataFrame:
     )
 
 
-def pair_counts(lines: DataFrame) -> DataFrame:
+def pair_counts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """a, b, n_ab of the wanted pairs of neighbouring words; the others are dropped
+    where they are listed, so only counts of wanted pairs are shuffled. Many
+    wanted pairs are joined instead of sent out."""
     whole = lines.where("kind = 'body'").select(_whole_tokens().alias("w")).where(F.size("w") > 1)
-    return (
-        whole.select(F.explode(F.arrays_zip(
-            F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p"))
-        .select("p.a", "p.b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    )
+    every = whole.select(F.explode(F.arrays_zip(
+        F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
+    few = wanted.count() <= BROADCAST_WORDS
+    if not few:
+        every = every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        every = every.withColumn("n", F.lit(1))
+    return every.join(F.broadcast(wanted) if few else wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
 
 
 def broken_words(lines: DataFrame) -> DataFrame:
@@ -613,7 +635,7 @@ def _decode(lattices: DataFrame, costs: list[float]) -> DataFrame:
     return cut_lineage(lattices.mapInPandas(decode, "line_id long, pos int, word string, fixed string"))
 
 
-def misread_words(lines: DataFrame, broken: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
+def misread_words(lines: DataFrame, broken: DataFrame, words: DataFrame) -> DataFrame:
     """path, page_no, line_no, word, fixed of the words read wrongly."""
     texts = lines.where("kind = 'body'").select("line_id", _whole_tokens().alias("tokens"), F.lit(None).cast("int").alias("only"))
     # the join of a broken word is a line of its own, of negative number
@@ -630,18 +652,22 @@ def misread_words(lines: DataFrame, broken: DataFrame, words: DataFrame, pairs:
     cand = pairs_read.groupBy("word").agg(
         F.first("n_read").alias("n_read"), F.array_sort(F.collect_list(F.struct("cand", "uses", "n_cand"))).alias("cands")
     )
-    few = pairs_read.count() <= BROADCAST_WORDS
+    # digits inside a word are a misreading even where no known word explains it
+    odd = words.where(F.col("word").rlike(r"[a-z][0-9]+[a-z]|^[a-z]{2,}[0-9]$|^[0-9][a-z]{3,}$") & ~F.col("word").rlike(r"^\d+(st|nd|rd|th|ers?|e)$"))
+    asked = written(cand.join(odd.select("word", F.lit(True).alias("odd")), "word", "full"))
+    few = asked.count() <= BROADCAST_WORDS
     spots = every.select("line_id", "only", F.posexplode("tokens").alias("pos", "word"), *["tokens"] * few)
+    spots = cut_lineage(
+        spots.where(F.col("only").isNull() | (F.col("only") == F.col("pos"))).join(F.broadcast(asked) if few else asked, "word")
+    )
     doubts = (
-        spots.where(F.col("only").isNull() | (F.col("only") == F.col("pos")))
-        .join(F.broadcast(cand) if few else cand, "word")
-        .groupBy("line_id")
+        spots.where("cands IS NOT NULL").groupBy("line_id")
         .agg(F.collect_list(F.struct("pos", "n_read", "cands")).alias("doubts"), *[F.first("tokens").alias("tokens")] * few)
     )
     doubtful = cut_lineage(doubts if few else every.select("line_id", "tokens").join(doubts, "line_id"))
     needed = doubtful.mapInPandas(_lattices, "line_id long, a string, b string")
     # the pairs of a line's lattice, spread by both words: no word is hot
-    counted = pairs.withColumnRenamed("n", "n_ab").join(needed.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    counted = pair_counts(lines, cut_lineage(needed.select("a", "b").distinct()))
     firsts = words.select(F.col("word").alias("a"), F.col("n").alias("n_a"))
     known = (
         needed.join(_with_first(counted, firsts), ["a", "b"])
@@ -671,13 +697,7 @@ def misread_words(lines: DataFrame, broken: DataFrame, words: DataFrame, pairs:
             "word", "fixed",
         )
     )
-    # digits inside a word that no known word explains
-    mixed = (
-        texts.where(F.exists("tokens", lambda w: F.translate(w, "0123456789", "") != w))
-        .select("line_id", F.explode("tokens").alias("word"))
-        .where(F.col("word").rlike(r"[a-z][0-9]+[a-z]|^[a-z]{2,}[0-9]$|^[0-9][a-z]{3,}$") & ~F.col("word").rlike(r"^\d+(st|nd|rd|th|ers?|e)$"))
-        .select("line_id", "word", F.translate("word", "015896", "olsbgb").alias("fixed"))
-    )
+    mixed = spots.where("odd AND line_id >= 0").select("line_id", "word", F.translate("word", "015896", "olsbgb").alias("fixed")).distinct()
     plain = decoded.where("line_id >= 0").select("line_id", "word", "fixed")
     both = plain.unionByName(mixed.join(plain.select("line_id", "word"), ["line_id", "word"], "left_anti"))
     return both.join(own, "line_id").select("path", "page_no", "line_no", "word", "fixed").unionByName(joined)
@@ -692,10 +712,10 @@ def _with_first(counted: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def _analysis(pdf_facts: DataFrame):
-    lines = cut_lineage(book_lines(pdf_facts)).withColumn("line_id", F.monotonically_increasing_id())
-    words, pairs = cut_lineage(word_counts(lines)), pair_counts(lines)
-    broken = cut_lineage(hyphen_faults(broken_words(lines), words))
-    return lines, broken, misread_words(lines, broken, words, pairs)
+    lines = written(book_lines(pdf_facts).withColumn("line_id", F.monotonically_increasing_id()))
+    words = written(word_counts(lines))
+    broken = written(hyphen_faults(broken_words(lines), words))
+    return lines, broken, misread_words(lines, broken, words)
 
 
 def line_faults(pdf_facts: DataFrame) -> DataFrame:
