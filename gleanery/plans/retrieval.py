@@ -105,58 +105,64 @@ def diversity_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return r.diversify(_ranked_items(spark, sf), "doc_id", "item_id", [r.NearDuplicate(), r.SeriesCap()], 50)
 
 
-def full_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Fuse, scale to the best, boost, re-rank and cap per source."""
-    docs = table(spark, sf, "documents").select(
+def _routed(spark, sf) -> DataFrame:
+    """qid, domain: labels a question is routed to (none unless two or more)."""
+    scores = _dense(spark, sf, 3, group="label").groupBy("qid", "label").agg(F.floor(F.avg("cosine") * 1e6).cast("long").alias("s"))
+    best = F.max("s").over(Window.partitionBy("qid"))
+    order = Window.partitionBy("qid").orderBy(F.desc("s"), "label")
+    return (
+        scores.withColumn("best", best).where("s >= best - 150000").withColumn("i", F.row_number().over(order)).where("i <= 3")
+        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("qid"))).where("n >= 2").select("qid", F.col("label").alias("domain"))
+    )
+
+
+def _searched(spark, sf) -> DataFrame:
+    """Fused, boosted and capped results: qid, vec_id, domain, relevance, micro, rank."""
+    labels = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("domain"))
+    routed = _routed(spark, sf)
+    docs = table(spark, sf, "documents").select((F.col("doc_id") - DOC_BASE).alias("vec_id"), "text")
+    scores = r.bm25_scores(docs, "vec_id", "text", _queries(spark, sf), "qid", "title")
+    own_sparse = scores.join(labels, "vec_id").join(routed, ["qid", "domain"]).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("qid", "domain").orderBy(F.desc("score"), "vec_id"))
+    ).where(F.col("rank") <= r.CANDIDATES)
+    own_dense = _dense(spark, sf, r.CANDIDATES, group="label").withColumnRenamed("label", "domain").join(routed, ["qid", "domain"])
+    fused = r.rrf(
+        [
+            (_dense(spark, sf), 1.0, "dense_rank"), (r.top_k(scores, "qid", "vec_id", "score", r.CANDIDATES), 1.0, "sparse_rank"),
+            (own_dense, r.ROUTED_WEIGHT, "own_dense"), (own_sparse, r.ROUTED_WEIGHT, "own_sparse"),
+        ],
+        "qid", "vec_id",
+    )
+    top = r.fused_top(fused, "qid", "vec_id", ["dense_rank", "sparse_rank", "own_dense", "own_sparse"], r.CANDIDATES)
+    facts = table(spark, sf, "documents").select(
         (F.col("doc_id") - DOC_BASE).alias("vec_id"), F.coalesce("source", F.lit("")).alias("source"),
-        F.coalesce(F.year("published_at"), F.lit(0)).alias("year"), "doc_type",
+        F.coalesce(F.year("published_at"), F.lit(0)).alias("year"),
     )
-    best = F.max("fused").over(Window.partitionBy("qid"))
+    relevance = F.col("fused") / F.max("fused").over(Window.partitionBy("qid"))
     scored = (
-        _fused(spark, sf).withColumn("relevance", F.col("fused") / best)
-        .join(docs, "vec_id")
+        top.withColumn("relevance", relevance).join(facts, "vec_id").join(labels, "vec_id", "left")
         .withColumn("score", F.col("relevance") + r.boost(F.lit(""), F.lit(False), F.lit(False), F.col("year"), THIS_YEAR))
         .withColumn("micro", F.floor(F.col("score") * 1e6 + 0.5).cast("long"))
     )
     per_source = Window.partitionBy("qid", "source").orderBy(F.desc("micro"), "vec_id")
     order = Window.partitionBy("qid").orderBy(F.desc("micro"), "vec_id")
     return (
-        scored.withColumn("n", F.row_number().over(per_source)).where("n <= 3 OR source = ''")
-        .withColumn("final_rank", F.row_number().over(order)).where("final_rank <= 10")
-        .select("qid", "vec_id", "micro", "final_rank")
+        scored.withColumn("n", F.row_number().over(per_source)).where(f"n <= {r.PER_DOCUMENT} OR source = ''")
+        .withColumn("rank", F.row_number().over(order)).select("qid", "vec_id", "domain", "relevance", "score", "micro", "rank")
     )
 
 
+def full_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense and lexical lists of the whole collection and, at half
+    weight, of the domains the question is routed to; fused, scaled to the best,
+    boosted, capped per source."""
+    return _searched(spark, sf).where("rank <= 10").select("qid", "vec_id", "micro", F.col("rank").alias("final_rank"))
+
+
 def domain_floor(spark: SparkSession, sf: str) -> DataFrame:
-    """At least two results per label in the top eight where their
-    relevance is at least half the best, replacing the lowest of labels over
-    their share."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label")
-    ranked = _dense(spark, sf, 30).join(e, "vec_id")
-
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        top, rest = pdf.head(8).to_dict("records"), pdf.iloc[8:].to_dict("records")
-        best = max(x["cosine"] for x in top)
-        for label in sorted({x["label"] for x in top + rest}):
-            for cand in [x for x in rest if x["label"] == label and x["cosine"] >= 0.5 * best]:
-                if sum(x["label"] == label for x in top) >= 2:
-                    break
-                counts = pd.Series([x["label"] for x in top]).value_counts()
-                over = [x for x in top if counts[x["label"]] > 2]
-                if not over:
-                    break
-                top.remove(min(over, key=lambda x: (x["cosine"], -x["rank"])))
-                top.append(cand)
-        top.sort(key=lambda x: (-round(x["cosine"], 4), x["rank"]))
-        return pd.DataFrame(
-            {"qid": [x["qid"] for x in top], "vec_id": [x["vec_id"] for x in top],
-             "label": [x["label"] for x in top], "rank": range(1, len(top) + 1)}
-        )
-
-    return ranked.groupBy("qid").applyInPandas(fold, "qid long, vec_id long, label int, rank int")
+    """The full search's top eight with two results of every routed domain."""
+    ranked = _searched(spark, sf).withColumn("score", F.floor(F.col("score") * 1e4 + 0.5))
+    return r.per_domain_floor(ranked, _routed(spark, sf), "qid", "vec_id")
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -238,11 +244,22 @@ SQL = {
         SELECT doc_id, item_id, rank, doc_rank FROM b WHERE doc_rank <= 3""",
     "full_search": f"""
         WITH {_FUSED},
-        s AS (SELECT f.qid, f.vec_id, coalesce(d.source, '') AS source,
-            CAST(floor((f.fused / f.best
+        ds AS (SELECT qid, label, CAST(floor(avg(cosine) * 1e6) AS BIGINT) AS s FROM (
+          SELECT d.qid, e.label, d.cosine, row_number() OVER (PARTITION BY d.qid, e.label ORDER BY d.cosine DESC, d.vec_id) AS n FROM dense d JOIN embeddings e USING (vec_id)) WHERE n <= 3 GROUP BY ALL),
+        rt AS (SELECT qid, label FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM (
+          SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, label) AS i FROM (SELECT *, max(s) OVER (PARTITION BY qid) AS best FROM ds) WHERE s >= best - 150000) WHERE i <= 3) WHERE n >= 2),
+        od AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid, label ORDER BY cosine DESC, vec_id) AS rank FROM dense d JOIN embeddings e USING (vec_id) JOIN rt USING (qid, label)),
+        os AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, vec_id) AS rank FROM sparse s JOIN embeddings e USING (vec_id) JOIN rt USING (qid, label)),
+        ls AS (SELECT qid, vec_id, rank, 1 AS k FROM dense WHERE rank <= 50 UNION ALL SELECT qid, vec_id, rank, 2 FROM sparse WHERE rank <= 50
+          UNION ALL SELECT qid, vec_id, rank, 3 FROM od WHERE rank <= 50 UNION ALL SELECT qid, vec_id, rank, 4 FROM os WHERE rank <= 50),
+        pv AS (SELECT qid, vec_id, max(rank) FILTER (k = 1) AS a, max(rank) FILTER (k = 2) AS b, max(rank) FILTER (k = 3) AS c, max(rank) FILTER (k = 4) AS d FROM ls GROUP BY ALL),
+        fu AS (SELECT *, ((coalesce(1.0::DOUBLE / (60 + a), 0) + coalesce(1.0::DOUBLE / (60 + b), 0)) + coalesce(0.5::DOUBLE / (60 + c), 0)) + coalesce(0.5::DOUBLE / (60 + d), 0) AS f FROM pv),
+        fk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY f DESC, a NULLS LAST, b NULLS LAST, c NULLS LAST, d NULLS LAST, vec_id) AS i, max(f) OVER (PARTITION BY qid) AS best FROM fu),
+        s AS (SELECT fk.qid, fk.vec_id, coalesce(d.source, '') AS source,
+            CAST(floor((fk.f / fk.best
               + CASE WHEN d.published_at IS NULL THEN 0 ELSE 0.03::DOUBLE * pow(0.5::DOUBLE,
                   greatest(0, {THIS_YEAR} - year(d.published_at AT TIME ZONE 'UTC'))::DOUBLE / 5) END) * 1e6 + 0.5) AS BIGINT) AS micro
-          FROM (SELECT *, max(fused) OVER (PARTITION BY qid) AS best FROM fused WHERE rank <= 50) f JOIN documents d ON d.doc_id = f.vec_id + {DOC_BASE}),
+          FROM fk JOIN documents d ON d.doc_id = fk.vec_id + {DOC_BASE} WHERE fk.i <= 50),
         c AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY micro DESC, vec_id) AS n FROM s)
         SELECT qid, vec_id, micro, final_rank FROM (
           SELECT *, row_number() OVER (PARTITION BY qid ORDER BY micro DESC, vec_id) AS final_rank FROM c

@@ -260,3 +260,15 @@ def test_sinks(spark):
     tags = spark.createDataFrame([(1, ["x"]), (2, ["d"])], "k int, t array<string>")
     have = spark.createDataFrame([(1, ["y"]), (2, None)], "k int, t array<string>")
     assert [r["changed"] for r in sinks.retag(have, tags, "k", "t", "d").orderBy("k").collect()] == [True, False]
+
+
+def test_every_routed_domain_has_its_floor(spark):
+    rows = [("q", i, i, "a", 1.0 - i / 100, 100.0 - i) for i in range(1, 9)]
+    rows += [("q", 20, 9, "b", 0.7, 50.0), ("q", 21, 10, "b", 0.6, 49.0), ("q", 22, 11, "b", 0.55, 48.0), ("q", 23, 12, "c", 0.3, 10.0)]
+    rows += [("s", i, i, "a", 1.0, 1.0) for i in range(1, 11)]
+    ranked = spark.createDataFrame(rows, "qid string, k int, rank int, domain string, relevance double, score double")
+    routed = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "c"), ("s", "a")], "qid string, domain string")
+    got = {}
+    for r in rt.per_domain_floor(ranked, routed, "qid", "k").orderBy("final_rank").collect():
+        got.setdefault(r["qid"], []).append(r["k"])
+    assert got == {"q": [1, 2, 3, 4, 5, 6, 20, 21], "s": list(range(1, 9))}
