@@ -139,12 +139,13 @@ def passages(ids: np.ndarray, doc_starts: np.ndarray):
 
 def windows(starts: np.ndarray, n_words: int):
     """Whole passages, and windows of long ones: headings and lost sentence
-    ends join an abusive sentence to clean text."""
+    ends join an abusive sentence to clean text. The last window ends where its
+    passage ends."""
     ends = np.r_[starts[1:], n_words]
     long = ends - starts > WINDOW + 4
-    size = np.where(long, (ends - starts - WINDOW) // STRIDE + 1, 0)
+    size = np.where(long, -(-(ends - starts - WINDOW) // STRIDE) + 1, 0)
     step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    lo = np.repeat(starts, size) + step * STRIDE
+    lo = np.repeat(starts, size) + np.minimum(step * STRIDE, np.repeat(ends - starts - WINDOW, size))
     return np.r_[starts, lo], np.r_[ends, lo + WINDOW]
 
 
