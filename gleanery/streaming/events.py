@@ -1,5 +1,9 @@
 """Structured Streaming twins of the log operators.
 
+Window counts run in update mode, where rows behind the watermark are dropped
+and state of closed windows is freed; sessions, which Spark cannot update, keep
+their state to the end.
+
 Each stream reads the events file source, runs to the end of what is there and
 leaves its result in the shared checkpoint folder, from where it is read."""
 
@@ -7,8 +11,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.session import ensure_checkpoint_dir, table
 
@@ -21,22 +26,29 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Process all available input and read the sink's last state."""
+def run_to_end(stream: DataFrame, mode: str, keys: tuple = ()) -> DataFrame:
+    """Process all available input and read the sink's last state. In update mode
+    every batch adds the rows it changed, and the last one of each key counts."""
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
     out = f"{base}/out"
 
-    def sink(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(out)
+    def sink(batch: DataFrame, number: int) -> None:
+        how = "overwrite" if mode == "complete" else "append"
+        batch.withColumn("batch", F.lit(number)).write.mode(how).parquet(out)
 
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(out)
+    if mode != "update":
+        return rows.drop("batch")
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
+    return rows.withColumn("newest", newest).where("newest = 1").drop("batch", "newest")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -68,12 +80,12 @@ def deduplicated(events: DataFrame, delay: str = "40 days") -> DataFrame:
 
 def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     """Events per hour and type."""
-    return run_to_end(tumbling(event_stream(spark, sf)), "complete")
+    return run_to_end(tumbling(event_stream(spark, sf)), "update", ("event_type", "started"))
 
 
 def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
     """Events per two hours sliding by one."""
-    return run_to_end(sliding(event_stream(spark, sf)), "complete")
+    return run_to_end(sliding(event_stream(spark, sf)), "update", ("event_type", "started"))
 
 
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:

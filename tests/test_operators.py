@@ -272,3 +272,27 @@ def test_every_routed_domain_has_its_floor(spark):
     for r in rt.per_domain_floor(ranked, routed, "qid", "k").orderBy("final_rank").collect():
         got.setdefault(r["qid"], []).append(r["k"])
     assert got == {"q": [1, 2, 3, 4, 5, 6, 20, 21], "s": list(range(1, 9))}
+
+
+def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
+    from gleanery.streaming import events as ev
+
+    for n, rows in enumerate([["10:05", "12:00"], ["10:10", "11:55", "12:30"], ["12:05", "11:00"], ["10:20", "11:59", "12:45"]]):
+        spark.createDataFrame([(f"2024-01-01 {t}:00", "a") for t in rows], "ts string, event_type string").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = (
+        spark.readStream.schema("ts timestamp, event_type string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/in")
+    )
+    got = {r["started"] % 86400 // 3600: r["n"] for r in ev.run_to_end(ev.tumbling(stream), "update", ("event_type", "started")).collect()}
+    # Spark drops by the watermark of the batch before: 10:20 and 11:59 come when it has passed their hours
+    assert got == {10: 2, 11: 2, 12: 4}
+
+
+def test_search_in_several_blocks_equals_one(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 3) for i in range(60)], "id long, v array<double>, g int")
+    asked = v.where("id < 20").selectExpr("id AS q", "v")
+    want = {tuple(r) for g in (None, "g") for r in rt.dense_top_k(v, "id", "v", asked, "q", 3, True, g).select("q", "id", "rank").collect()}
+    monkeypatch.setattr(rt, "QUERY_BLOCK", 7)
+    got = {tuple(r) for g in (None, "g") for r in rt.dense_top_k(v, "id", "v", asked, "q", 3, True, g).select("q", "id", "rank").collect()}
+    assert got == want
