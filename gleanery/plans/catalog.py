@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import coverage, decisions, evaluation, graph, grounding, integrity, portfolio, retrieval, state, texts, units, usage, web
+from gleanery.plans import coverage, decisions, evaluation, graph, grounding, integrity, portfolio, retrieval, state, tagging, texts, units, usage, web
 from gleanery.streaming import events
 
-MODULES = [integrity, retrieval, units, texts, web, grounding, decisions, coverage, evaluation, usage, state, portfolio, graph, events]
+MODULES = [integrity, retrieval, units, texts, web, grounding, decisions, tagging, coverage, evaluation, usage, state, portfolio, graph, events]
 
 
 def queries() -> dict:
