@@ -115,3 +115,75 @@ def word_overlap(question: Column, source: Column, stop: list[str]) -> Column:
 def hash_share(seed: str, key: Column) -> Column:
     """Place of a key in [0, 1] by its seeded hash, for splits that never move."""
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key), 256), 1, 8), 16, 10).cast("double") / 4294967295.0
+
+
+EMBED_DIM = 64
+
+
+def hash_embedding(text: Column) -> Column:
+    """Deterministic unit vector of a text's words by their md5, for use where no
+    model is at hand; the zero vector for a wordless text."""
+    words = F.filter(F.split(F.trim(F.lower(F.coalesce(text, F.lit("")))), r"(?U)\s+"), lambda w: w != "")
+    bare = F.transform(words, lambda w: F.regexp_replace(w, "^[.,?!'\"]+|[.,?!'\"]+$", ""))
+    # the remainder by 64 of a 128-bit number is that of its last byte
+    place = F.transform(bare, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 31, 2), 16, 10).cast("int") % EMBED_DIM)
+
+    def once(value: Column, use) -> Column:
+        """``use(value)`` with the value worked out a single time."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def counted(places: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(EMBED_DIM - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
+
+    def scaled(counts: Column) -> Column:
+        return once(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(
+            counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float")
+        ))
+
+    return once(once(place, counted), scaled)
+
+
+def majority_of_trials(outcomes: Column, once: Column, trials: int = 3) -> Column:
+    """Result of repeated runs: the first one where it decides alone or passed, else
+    the majority of up to ``trials``; null while it is open."""
+    need = trials // 2 + 1
+    seen = F.slice(outcomes, 1, trials)
+    good, bad = F.size(F.filter(seen, lambda o: o)), F.size(F.filter(seen, lambda o: ~o))
+    return F.when(F.size(outcomes) == 0, None).when(once | F.element_at(outcomes, 1), F.element_at(outcomes, 1)).when(good >= need, True).when(bad >= need, False)
+
+
+def claim_supported(first: Column, second: Column, third: Column) -> Column:
+    """Two judges agree, or the third decides; without a third a split is no support."""
+    b = F.coalesce(second, F.lit(False))
+    return F.when(first == b, first & b).otherwise(F.coalesce(third, F.lit(False)))
+
+
+def parts_reached(expected: Column, searches: Column) -> Column:
+    """How many parts (arrays of domains) a search named a domain of; a search
+    without domains covers all."""
+    return F.size(F.filter(expected, lambda want: F.exists(
+        searches, lambda c: (F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0) | F.coalesce(F.arrays_overlap(c, want), F.lit(False))
+    )))
+
+
+def as_of_date(line: Column) -> Column:
+    """Date of a line that says as of when it is: m/d/yyyy, yyyy-mm-dd or Mon-d-yyyy."""
+    said = F.lower(line).rlike("as of|downloaded|date|positions for")
+    found = F.coalesce(
+        F.try_to_date(F.nullif(F.regexp_extract(line, r"\b(\d{1,2}/\d{1,2}/\d{4})\b", 1), F.lit("")), "M/d/yyyy"),
+        F.try_to_date(F.nullif(F.regexp_extract(line, r"\b(\d{4}-\d{2}-\d{2})\b", 1), F.lit("")), "yyyy-MM-dd"),
+        F.try_to_date(F.nullif(F.regexp_extract(line, r"\b([A-Z][a-z]{2}-\d{1,2}-\d{4})\b", 1), F.lit("")), "MMM-d-yyyy"),
+    )
+    return F.when(said, found)
+
+
+def uncited(answer: Column, seen: Column) -> Column:
+    """Links and book pages an answer cites that no result had (text fragments of a
+    link do not count)."""
+    links = F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\]\((https?://[^)\s]+)\)"), F.lit(1)))
+    pages = F.array_distinct(F.regexp_extract_all(answer, F.lit(r"PDF p\. (\d+)"), F.lit(1)))
+    known = F.array_union(F.regexp_extract_all(seen, F.lit(r", PDF p\. (\d+)"), F.lit(1)), F.regexp_extract_all(seen, F.lit(r'"page"\s*:\s*(\d+)'), F.lit(1)))
+    return F.concat(
+        F.filter(links, lambda u: ~F.contains(seen, u) & ~F.contains(seen, F.element_at(F.split(u, "#:~:text="), 1))),
+        F.transform(F.array_except(pages, known), lambda p: F.concat(F.lit("PDF p. "), p)),
+    )

@@ -153,8 +153,15 @@ def pack_hash(spark: SparkSession, sf: str) -> DataFrame:
     return parts.agg(F.sum("n").alias("n"), (F.sum("n") - F.sum("n_ids")).alias("n_duplicate"), F.sha2(F.array_join(F.transform(whole, lambda x: x["h"]), "\n"), 256).alias("sha"))
 
 
+def hash_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Deterministic vectors of the titles, as the counts of their places in thousandths."""
+    v = rc.hash_embedding(F.col("title"))
+    docs = table(spark, sf, "documents").where("title IS NOT NULL").select("doc_id", F.posexplode(v).alias("place", "x")).where("x > 0")
+    return docs.groupBy("place").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.floor(F.col("x") * 1000).cast("long")).alias("weight"))
+
+
 QUERIES = {f.__name__: f for f in (
-    moment_ids, graded_moments, moment_texts, nearest_snap, heading_sections, passage_trims, gap_questions, question_leakage, hash_split,
+    hash_vectors, moment_ids, graded_moments, moment_texts, nearest_snap, heading_sections, passage_trims, gap_questions, question_leakage, hash_split,
     new_labels, own_words, ligature_repair, series_slugs, pack_hash,
 )}
 
@@ -171,6 +178,10 @@ def _cw(c: str) -> str:
 
 
 SQL = {
+    "hash_vectors": f"""WITH w AS (SELECT doc_id, regexp_replace(unnest(list_filter(string_split_regex(trim(lower(title)), '{_WS}'), lambda x: x <> '')), '^[.,?!''"]+|[.,?!''"]+$', '', 'g') AS w FROM documents WHERE title IS NOT NULL),
+        c AS (SELECT doc_id, CAST('0x' || substr(md5(w), 31, 2) AS INTEGER) % 64 AS place, count(*) AS n FROM w GROUP BY ALL),
+        x AS (SELECT doc_id, place, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS x FROM c)
+        SELECT place, count(*) AS n_docs, CAST(sum(floor(CAST(x AS DOUBLE) * 1000)) AS BIGINT) AS weight FROM x GROUP BY place""",
     "moment_ids": f"""WITH {_I}, k AS (SELECT item_id, CASE source_kind WHEN 'article' THEN 'article' WHEN 'chapter' THEN 'chapter' ELSE 'talk' END AS kind,
           CASE source_kind WHEN 'article' THEN 'w-' || doc_id WHEN 'chapter' THEN 'book__' || doc_id ELSE doc_id END AS doc, start_ms FROM i),
         m AS (SELECT *, CASE kind WHEN 'talk' THEN start_ms // 60000 * 60 WHEN 'article' THEN CAST(floor((start_ms - 1) / 3) AS BIGINT) * 3 + 1 ELSE start_ms // 1000 END AS start FROM k)

@@ -82,3 +82,31 @@ def test_chapters_of_books(spark):
     assert {(r["title"], r["page"]) for r in heads.collect()} == {("1 THE START", 3), ("2. Middle part", 8), ("3 The End it was", 12), ("Index", 20)}
     got = ob.detect_chapters([("contents", ob.align_contents(few, paragraphs)), ("headings", heads)], paragraphs).where("book = 'b'").select("method").distinct().collect()
     assert [r[0] for r in got] == ["headings"]
+
+
+def test_hash_embedding_equals_the_definition(spark):
+    import hashlib
+    import math
+
+    texts = ["Price, price and PRICE!", "", None, "a 'quoted' word.  x"]
+    for text, got in zip(texts, one(spark, texts, rc.hash_embedding)):
+        v = [0.0] * 64
+        for w in (text or "").lower().split():
+            v[int(hashlib.md5(w.strip(".,?!'\"").encode()).hexdigest(), 16) % 64] += 1
+        n = math.sqrt(sum(x * x for x in v)) or 1.0
+        assert all(abs(a - b / n) < 1e-6 for a, b in zip(got, v))
+
+
+def test_votes_parts_dates_and_citations(spark):
+    rows = [([False, True, True], False, True), ([False, False], False, False), ([False], True, False), ([True, False, False], False, True), ([False, True], False, None), ([], False, None)]
+    df = spark.createDataFrame(rows, "o array<boolean>, once boolean, w boolean")
+    assert all(r[0] == r[1] for r in df.select("w", rc.majority_of_trials(F.col("o"), F.col("once"))).collect())
+    rows = [(True, True, None, True), (True, False, True, True), (True, False, None, False), (False, False, True, False), (True, None, None, False)]
+    df = spark.createDataFrame(rows, "a boolean, b boolean, c boolean, w boolean")
+    assert all(r[0] == r[1] for r in df.select("w", rc.claim_supported(F.col("a"), F.col("b"), F.col("c"))).collect())
+    df = spark.createDataFrame([([["a"], ["b", "c"], ["d"]], [["c"], ["a"]], 2), ([["a"], ["b"]], [None], 2), ([["a"]], [], 0)], "e array<array<string>>, s array<array<string>>, w int")
+    assert all(r[0] == r[1] for r in df.select("w", rc.parts_reached(F.col("e"), F.col("s"))).collect())
+    got = one(spark, ["Positions as of 3/7/2024", "Date downloaded 2024-02-30 or 2024-03-01", "as of Mar-09-2024", "3/7/2024", None], rc.as_of_date)
+    assert [str(d) if d else None for d in got] == ["2024-03-07", None, "2024-03-09", None, None]
+    df = spark.createDataFrame([("see [a](https://e.com/x#:~:text=hi) and [b](https://e.com/y), PDF p. 4 and PDF p. 5", 'https://e.com/x ... , PDF p. 4 "page": 7')], "a string, s string")
+    assert df.select(rc.uncited(F.col("a"), F.col("s"))).first()[0] == ["https://e.com/y", "PDF p. 5"]
