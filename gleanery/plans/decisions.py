@@ -100,8 +100,8 @@ def brier_by_fold(spark: SparkSession, sf: str) -> DataFrame:
         part = folds.where(F.col("fold") == f).select("fold", F.pow(dec.calibrated(F.col("cosine"), knots) - F.col("y"), 2).alias("e"))
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], "fold int, n long, brier double")
-    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("brier"))
+        return spark.createDataFrame([], "fold int, n long, brier_micro long")
+    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.floor(F.avg("e") * 1e6 + 0.5).cast("long").alias("brier_micro"))
 
 
 def calibration_bins(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,3 +182,15 @@ SQL |= {
         SELECT n, CAST(floor(ms[CAST(floor(len(ms) * 0.025) AS BIGINT) + 1] * 1e6 + 0.5) AS BIGINT) AS low_micro,
           CAST(floor(ms[least(len(ms) - 1, CAST(floor(len(ms) * 0.975) AS BIGINT)) + 1] * 1e6 + 0.5) AS BIGINT) AS high_micro, CAST(floor(p * 1e6 + 0.5) AS BIGINT) AS p_micro FROM c, ci, p""",
 }
+
+
+def _fold_sql(fold: int) -> str:
+    """Squared errors of a fold's rows under the curve of the other fold's knots."""
+    return f"""SELECT {fold} AS fold, s, y, p FROM (WITH o AS (SELECT s, y FROM pr WHERE CAST(qid / 100 AS INTEGER) % 2 <> {fold}), {_knots('o')},
+      kn AS (SELECT *, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1, min(x) OVER () AS lo, max(x) OVER () AS hi FROM pt)
+      SELECT pr.s, pr.y, (SELECT max(CASE WHEN pr.s <= lo AND x = lo THEN kn.y WHEN pr.s > hi AND x = hi THEN kn.y WHEN pr.s > x AND pr.s <= x1 THEN kn.y + (pr.s - x) / (x1 - x) * (y1 - kn.y) END) FROM kn) AS p
+      FROM pr WHERE CAST(qid / 100 AS INTEGER) % 2 = {fold} AND (SELECT count(*) FROM pt) >= 2 AND (SELECT count(*) FROM o) >= 50)"""
+
+
+SQL["brier_by_fold"] = f"""WITH {_PAIRS}, e AS ({_fold_sql(0)} UNION ALL {_fold_sql(1)})
+    SELECT fold, count(*) AS n, CAST(floor(avg(pow(p - y, 2)) * 1e6 + 0.5) AS BIGINT) AS brier_micro FROM e GROUP BY fold"""

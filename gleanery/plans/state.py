@@ -55,10 +55,10 @@ TEXTS = {
         SELECT founder_id, kind, CAST(count(*) AS BIGINT) AS n FROM (
           SELECT DISTINCT id, founder_id, 'goal overdue' AS kind FROM {goals} WHERE target_date < DATE '2024-01-01' AND closed_at IS NULL AND deleted_at IS NULL
           UNION ALL SELECT DISTINCT id, founder_id, 'commitment open' FROM {commitments} WHERE closed_at IS NULL AND week < '2024-W01') u GROUP BY founder_id, kind""",
-    "iso_weeks": """-- M1: ISO week of a commitment against the week it names
-        SELECT week = made AS same, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT id, week,
-          concat(CAST(extract(isoyear_ FROM d) AS VARCHAR(4)), '-W', lpad(CAST(extract(week FROM d) AS VARCHAR(2)), 2, '0')) AS made
-          FROM (SELECT id, week, [[date:created_at]] AS d FROM {commitments} WHERE created_at IS NOT NULL) x) y GROUP BY week = made""",
+    "iso_weeks": """-- M1: ISO week of a commitment against the week it names, and the Monday it starts on
+        SELECT week = made AS same, monday, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT id, week, CAST(date_trunc('week', d) AS DATE) AS monday,
+          concat(CAST([[isoyear:d]] AS VARCHAR(4)), '-W', lpad(CAST(extract(week FROM d) AS VARCHAR(2)), 2, '0')) AS made
+          FROM (SELECT id, week, [[date:created_at]] AS d FROM {commitments} WHERE created_at IS NOT NULL) x) y GROUP BY week = made, monday""",
     "idempotent_replay": """-- H4: one effect per request id, the first by time
         SELECT id, CAST(count(*) AS BIGINT) AS n_delivered, min([[epoch:created_at]]) AS first_at FROM {commitments} GROUP BY id""",
     "latest_per_key": """-- K1 N2: documents as a unit: rows of the newest transcript version
@@ -105,5 +105,4 @@ TEXTS = {
     "plan_comparison": """-- U17: expected against detected page counts and labels of books
         SELECT DISTINCT path, pages, [[size:map_keys(page_labels)]] AS n_labels, pages <> [[size:map_keys(page_labels)]] AS mismatch FROM (SELECT path, pages, page_labels FROM {pdf_facts} WHERE page_labels IS NOT NULL) b""",
 }
-TEXTS["iso_weeks"] = TEXTS["iso_weeks"].replace("extract(isoyear_ FROM d)", "[[isoyear:d]]")
 QUERIES, SQL = plans(TEXTS)

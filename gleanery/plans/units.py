@@ -18,6 +18,7 @@ TEXTS = {
         WITH w AS (SELECT doc_id, [[size:[[findall:lower(text)¦'[a-z0-9]+']]]] AS n_words, [[size:[[distinct:[[findall:lower(text)¦'[a-z0-9]+']]]]]] AS n_types,
             [[size:[[findall:text¦'[.,;:?!]']]]] AS n_marks, [[size:[[findall:text¦'[(][^)]*[)]']]]] AS n_notes FROM {documents} WHERE text IS NOT NULL)
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_types AS BIGINT) AS n_types, CAST(n_marks AS BIGINT) AS n_marks, CAST(n_notes AS BIGINT) AS n_notes,
+          CASE WHEN n_words > 0 THEN CAST([[div:n_marks * 10000¦greatest(1, n_words)]] AS BIGINT) ELSE 0 END AS marks_per_10k, CASE WHEN n_words > 0 THEN CAST([[div:n_types * 1000¦greatest(1, n_words)]] AS BIGINT) ELSE 0 END AS types_milli,
           n_words > 0 AND n_marks * 200 < n_words AS unpunctuated FROM w""",
     "interval_overlap_moments": """-- J10 J11 X9: cues spread over the two-minute moments they overlap
         WITH t AS (SELECT DISTINCT doc_id, version, utterances FROM {transcripts} WHERE utterances IS NOT NULL),

@@ -34,10 +34,12 @@ TEXTS = {
     "weak_searches": f"""-- W40 L5: newest weak calls
         SELECT event_id, user_id, event_type, [[epoch:ts]] AS at_s FROM {{events}}
         WHERE {_LEVEL} IN ('none', 'empty') ORDER BY ts DESC, event_id LIMIT 50""",
-    "gap_report": f"""-- A10 M15: levels per tool with the spread of values in hundredths
-        SELECT event_type, {_LEVEL} AS level, CAST(count(*) AS BIGINT) AS n,
-          CAST(floor(min(value) * 100) AS BIGINT) AS low, CAST(floor(max(value) * 100) AS BIGINT) AS high
-        FROM {{events}} GROUP BY event_type, {_LEVEL}""",
+    "gap_report": f"""-- A10 M15: calls per tool and level with least, median and greatest value in hundredths
+        WITH r AS (SELECT event_type, {_LEVEL} AS level, value, row_number() OVER (PARTITION BY event_type, {_LEVEL} ORDER BY value, event_id) AS rn,
+          count(*) OVER (PARTITION BY event_type, {_LEVEL}) AS n FROM {{events}} WHERE value IS NOT NULL)
+        SELECT event_type, level, CAST(count(*) AS BIGINT) AS n, CAST(floor(min(value) * 100 + 0.5) AS BIGINT) AS low,
+          CAST(floor((max(CASE WHEN rn = 1 + [[div:n - 1¦2]] THEN value END) + max(CASE WHEN rn = 1 + [[div:n¦2]] THEN value END)) * 50 + 0.5) AS BIGINT) AS median,
+          CAST(floor(max(value) * 100 + 0.5) AS BIGINT) AS high FROM r GROUP BY event_type, level""",
     "ask_averages": f"""-- A10: asks, rounds and events per run
         WITH {_ASKS} SELECT user_id, CAST(count(DISTINCT ask_no) AS BIGINT) AS n_asks,
           CAST(count(DISTINCT round_no) AS BIGINT) AS n_rounds, CAST(count(*) AS BIGINT) AS n_events
