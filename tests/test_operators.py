@@ -296,3 +296,15 @@ def test_search_in_several_blocks_equals_one(spark, monkeypatch):
     monkeypatch.setattr(rt, "QUERY_BLOCK", 7)
     got = {tuple(r) for g in (None, "g") for r in rt.dense_top_k(v, "id", "v", asked, "q", 3, True, g).select("q", "id", "rank").collect()}
     assert got == want
+
+
+def test_joins_with_a_small_side_by_either_way(spark):
+    from gleanery.operators.joins import join_small
+
+    large = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(60)], "i int, k string")
+    small = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "k string, v int")
+    for how in ("inner", "left"):
+        one, other = (
+            {tuple(r) for r in join_small(large, small, ["k"], F.col("i"), how, most).select("i", "k", "v").collect()} for most in (10, 0)
+        )
+        assert one == other and len(one) >= 42
