@@ -40,12 +40,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.llm.html_lines import page_view
+from gleanery.operators.joins import join_small
 from gleanery.session import cut_lineage
 
 #: Content nodes up to this importance are boilerplate.
 LOW_CONTENT = 0.6
 #: Branches up to this composite importance are pruned.
 LOW_BRANCH = 0.4
+#: Signatures on one page in so many, or more often, are hot keys.
+HOT_SHARE = 1024
 #: Weight of what is inside an element against its own styles, per style.
 INSIDE = 0.9
 #: A line whose text is linked from this share on is a link, if it does not
@@ -159,22 +162,40 @@ def _importance(k: str, m: str):
 
 
 def content_importance(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """host, sig, importance of the signatures found on more than one page."""
+    """host, sig, importance, is_hot of the signatures found on more than one page;
+    hot are those on ``1 / HOT_SHARE`` of all pages or more."""
     per_host = lines.where(F.col("is_first")).groupBy("host", "sig").agg(F.count(F.lit(1)).alias("k"))
     per_all = per_host.groupBy("sig").agg(F.sum("k").alias("k_all")).where(F.col("k_all") > 1)
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("m"))
     total = pages.agg(F.count(F.lit(1)).alias("n"))
     return (
-        per_host.join(per_all, "sig")
-        .join(hosts, "host")
+        join_small(per_host.join(per_all, "sig"), hosts, ["host"], F.col("sig"))
         .withColumn("m_all", total.scalar())
         .select(
             "host", "sig",
             F.least(_importance("k", "m"), _importance("k_all", "m_all")).alias("importance"),
+            (F.col("k") * HOT_SHARE >= F.col("m_all")).alias("is_hot"),
         )
     )
 
 
+def judged_lines(lines: DataFrame, content: DataFrame) -> DataFrame:
+    """Lines with their importance, 1 where a signature is found on no other page.
+
+    A page has few lines, so the hot signatures are at most ``HOT_SHARE`` times
+    the lines of a page: they are sent to the lines. What they decide is spread
+    over the join of the rest, so no key of it is hot."""
+    content = cut_lineage(content)
+    hot = content.where("is_hot").select("host", "sig", F.col("importance").alias("of_hot"))
+    rest = content.where("NOT is_hot").select("host", F.col("sig").alias("key"), F.lit(False).alias("done"), F.col("importance").alias("of_rest"))
+    marked = lines.join(F.broadcast(hot), ["host", "sig"], "left").withColumn("done", F.col("of_hot").isNotNull()).withColumn(
+        "key", F.when(F.col("done"), F.xxhash64("doc_id", "line_no")).otherwise(F.col("sig"))
+    )
+    return marked.join(rest, ["host", "key", "done"], "left").withColumn(
+        "importance", F.coalesce("of_hot", "of_rest", F.lit(1.0))
+    ).drop("key", "done", "of_hot", "of_rest")
+
+
 def branch_importance(elements: DataFrame, judged: DataFrame) -> DataFrame:
     """host, node, composite of every element of the hosts' trees.
 
@@ -278,12 +299,10 @@ def main_lines(web_pages: DataFrame, web_raw: DataFrame) -> DataFrame:
         "is_first", F.col("flags").bitwiseAND(FIRST) > 0
     )
     content = content_importance(lines, pages.select("doc_id", "host"))
-    judged = lines.join(content, ["host", "sig"], "left").withColumn(
-        "importance", F.coalesce("importance", F.lit(1.0))
-    )
+    judged = judged_lines(lines, content)
     tree = branch_importance(pages.select("host", F.inline("elements")), judged)
     return (
-        judged.join(tree, ["host", "node"])
+        join_small(judged, tree, ["host", "node"], F.struct("doc_id", "line_no"))
         .groupBy("doc_id")
         .agg(
             F.collect_list(
