@@ -17,7 +17,7 @@ m depends on the size class of the smaller partner, so a record enters the table
 of each m that a partner of 0.8 to 1 times its size may use; sets of fewer than four words
 have no partner but their equals and enter none.
 
-A segment value of fewer than ``PLAIN_WORDS`` words names little or nothing and
+A segment value of fewer than two or three words names little or nothing and
 would be shared by records without end. Its key is completed by one of the
 record's rarest words: similar sets share one of their n // 5 + 1 rarest words
 under any order, so the key is written once for each of them and still no
@@ -39,6 +39,8 @@ once; a key redelivered with other text keeps each text.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,8 +53,6 @@ from gleanery.session import cut_lineage
 #: Copies of one text whose pairs are written out in full.
 EXPANDED_CLASS = 50
 
-#: Segment values of fewer words are completed by a rare word.
-PLAIN_WORDS = 3
 #: Buckets of the word counts that order words by rarity.
 COUNT_BUCKETS = 1 << 18
 #: Table rows a task of the candidate join takes.
@@ -71,14 +71,24 @@ def budget(n: int) -> int:
     return n // 4
 
 
+#: Sizes at which a class begins: the powers of the square root of two.
+_CLASSES = sorted({math.ceil(2 ** (i / 2)) for i in range(100)})
+
+
 def segments(n: int) -> int:
     """Segments for pairs whose smaller set has n words. More are never wrong, so
-    sizes up to the next power of two share one number, and a record enters one
-    family of tables, or two."""
-    largest = (1 << n.bit_length()) - 1
+    the sizes of a class share one number, and a record enters few families of
+    tables."""
+    largest = _CLASSES[bisect_right(_CLASSES, n)] - 1
     return budget(largest) // 2 + 1
 
 
+def plain_words(m: int) -> int:
+    """Segment values of fewer words are completed by a rare word. Long sets have
+    many rare words and short values are uncommon among their many segments."""
+    return 3 if m <= 2 else 2
+
+
 def segment_counts(n: int) -> list[int]:
     """Table families a set of n words enters: one per class of possible smaller
     partners that may differ at all."""
@@ -118,10 +128,10 @@ def table_rows(ids: np.ndarray, offsets: np.ndarray, words: np.ndarray, with_bal
     sig = (parity << _PARITY_SHIFT) | (n.astype(np.int64) << 1)
     rare_at, rare = _rarest(n, offsets, mixed, counts)
 
-    def rows(key: np.ndarray, doc: np.ndarray, size: np.ndarray, ball: int):
+    def rows(key: np.ndarray, doc: np.ndarray, size: np.ndarray, ball: int, least: int):
         """Rows of plain keys as they are, others once for each rare word."""
-        few = np.flatnonzero(size < PLAIN_WORDS)
-        many = np.flatnonzero(size >= PLAIN_WORDS)
+        few = np.flatnonzero(size < least)
+        many = np.flatnonzero(size >= least)
         times = np.diff(rare_at)[doc[few]]
         row = np.repeat(few, times)
         start = np.repeat(rare_at[doc[few]], times)
@@ -146,11 +156,11 @@ def table_rows(ids: np.ndarray, offsets: np.ndarray, words: np.ndarray, with_bal
         size = np.bincount(cell, minlength=n_cells)
         salt = _mix(np.arange(m, dtype=np.uint64) + np.uint64(m * 1000))
         docs = np.flatnonzero(chosen)
-        yield rows(_mix(total ^ np.tile(salt, len(docs))), np.repeat(docs, m), size, 0)
+        yield rows(_mix(total ^ np.tile(salt, len(docs))), np.repeat(docs, m), size, 0, plain_words(m))
         if with_ball:
             with np.errstate(over="ignore"):
                 less = total[cell] - val
-            yield rows(_mix(less ^ salt[seg.astype(np.int64)]), doc, size[cell] - 1, 1)
+            yield rows(_mix(less ^ salt[seg.astype(np.int64)]), doc, size[cell] - 1, 1, plain_words(m))
 
 
 def word_bucket_counts(classes: DataFrame) -> np.ndarray:
