@@ -11,7 +11,10 @@ by looking up their page's bit.
 
 Only line keys with at least ``min_pages`` occurrences reach the bitmap stage.
 Distinct pages can never exceed occurrences, so that filter loses nothing; it
-is a map-side combined count, which also flattens hot sources and hot lines.
+is a map-side combined count, sent to the lines behind a size check or else
+salted. Bitmap words are formed where the lines are read and shuffled by line
+and page word, so neither a hot source nor a line on all of its pages is
+gathered anywhere: a key holds 64 pages.
 
 Defined results: pages with null or blank source, null raw_path or null html
 have no lines; redelivered pages count once; lines without visible text never
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.llm.html_lines import line_key, visible_lines
+from gleanery.operators.joins import join_small
 from gleanery.session import cut_lineage
 
 MIN_PAGES = 8
@@ -101,14 +105,11 @@ def page_lines(web_pages: DataFrame, web_raw: DataFrame) -> DataFrame:
 def line_bitmaps(lines: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """source, norm, word, bits, n_pages of the lines on at least ``min_pages``
     distinct pages of the source."""
-    frequent = (
-        lines.groupBy("source", "norm")
-        .agg(F.count(F.lit(1)).alias("n_seen"))
-        .where(F.col("n_seen") >= min_pages)
-        .select("source", "norm")
+    frequent = cut_lineage(
+        lines.groupBy("source", "norm").agg(F.count(F.lit(1)).alias("n_seen")).where(F.col("n_seen") >= min_pages).select("source", "norm")
     )
     variants = (
-        lines.join(frequent, ["source", "norm"], "left_semi")
+        join_small(lines, frequent, ["source", "norm"], F.struct("word", "bit"))
         .groupBy("source", "norm", "variant", "word")
         .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
     )
