@@ -86,9 +86,9 @@ def test_index_pages_and_empty_pages_have_no_body(spark):
     assert mc.main_lines(*frames(spark, [], [])).count() == 0
 
 
-def test_style_tree_prunes_what_all_pages_build_alike(spark):
-    """Side texts that no line count betrays: every page's side box holds lines of
-    its own, but all pages build the box alike, and the piece each in its way."""
+def test_style_tree_scores_elements_by_their_styles(spark):
+    """All pages build their side box alike and the piece each in its own way; by
+    their styles alone the box scores low and the piece high."""
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
     pages, raw = [], []
