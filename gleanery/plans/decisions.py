@@ -135,12 +135,13 @@ QUERIES |= {
     )
 }
 _NB = """dn AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-nb AS (SELECT * FROM (SELECT q.vec_id AS qid, q.label AS qlabel, x.vec_id, x.label,
+al AS (SELECT q.vec_id AS qid, q.label AS qlabel, x.vec_id, x.label,
     list_dot_product(q.v, x.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(x.v, x.v))) AS cosine,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, x.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(x.v, x.v))) DESC, x.vec_id) AS rank
-  FROM dn q, dn x WHERE q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id) WHERE rank <= 50),
+  FROM dn q, dn x WHERE q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
+nb AS (SELECT * FROM al WHERE rank <= 50),
 ds AS (SELECT qid, label, CAST(floor(avg(cosine) * 1e6) AS BIGINT) AS score_micro FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY cosine DESC, vec_id) AS n FROM nb) WHERE n <= 3 GROUP BY ALL),
+  SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY cosine DESC, vec_id) AS n FROM al) WHERE n <= 3 GROUP BY ALL),
 rc AS (SELECT qid, label, rank FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM (
   SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY score_micro DESC, label) AS rank FROM (
     SELECT *, max(score_micro) OVER (PARTITION BY qid) AS best FROM ds) WHERE score_micro >= best - 150000) WHERE rank <= 3) WHERE n >= 2)"""
