@@ -79,15 +79,16 @@ def stale(newest_year: Column, this_year: int, half_life_days: Column) -> Column
 
 def sweep(questions: DataFrame, level_at) -> DataFrame:
     """shift, answered, refused: wrongful answers of gap questions and wrongful
-    refusals of answerable ones for each shift of the curve.
+    refusals of answerable ones for each shift of the curve; null without such
+    questions.
 
     ``questions`` has is_gap and what ``level_at(shift column)`` needs."""
     shifts = F.explode(F.array(*[F.lit(s) for s in SHIFTS])).alias("shift")
     rows = questions.select("*", shifts)
     level = level_at(F.col("shift"))
     return rows.groupBy("shift").agg(
-        (F.count_if(F.col("is_gap") & (level != "none")) / F.count_if("is_gap")).alias("answered"),
-        (F.count_if(~F.col("is_gap") & (level == "none")) / F.count_if(~F.col("is_gap"))).alias("refused"),
+        F.try_divide(F.count_if(F.col("is_gap") & (level != "none")), F.count_if("is_gap")).alias("answered"),
+        F.try_divide(F.count_if(~F.col("is_gap") & (level == "none")), F.count_if(~F.col("is_gap"))).alias("refused"),
     )
 
 
