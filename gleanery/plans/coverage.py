@@ -109,7 +109,7 @@ def _levels(tier: str, by: str) -> str:
 
 _SHIFTS = ", ".join(f"({i}, {s}::DOUBLE)" for i, s in zip(range(-12, 13, 2), cv.SHIFTS))
 _RATES = f"""{retrieval._DENSE.strip()}, b AS (SELECT d.qid, d.cosine, e.label % 2 = 1 AS gap FROM dense d JOIN embeddings e ON e.vec_id = d.qid WHERE d.rank = 1),
-r AS (SELECT pct, s, count(*) FILTER (gap AND p >= 0.45) / count(*) FILTER (gap) AS answered, count(*) FILTER (NOT gap AND p < 0.45) / count(*) FILTER (NOT gap) AS refused
+r AS (SELECT pct, s, count(*) FILTER (gap AND p >= 0.45) / nullif(count(*) FILTER (gap), 0) AS answered, count(*) FILTER (NOT gap AND p < 0.45) / nullif(count(*) FILTER (NOT gap), 0) AS refused
   FROM (SELECT pct, s, gap, {_curve('(cosine - s)')} AS p FROM b, (VALUES {_SHIFTS}) v(pct, s)) GROUP BY ALL)"""
 SQL = {
     "coverage_levels": f"WITH {_HITS} SELECT *, coalesce(({THIS_YEAR} - newest_year) * 365.25 > {HALF_LIFE_DAYS}, false) AS stale FROM ({_levels('tier', 'qid, domain')})",

@@ -16,7 +16,7 @@ from gleanery.operators import decisions as dec
 from gleanery.operators import metrics as me
 from gleanery.plans import retrieval
 from gleanery.plans.dialect import plans
-from gleanery.session import table
+from gleanery.session import cut_lineage, table
 
 
 def pool(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,8 +138,8 @@ TEXTS = {
 QUERIES, SQL = plans(TEXTS, {"pool": (pool, _POOL)})
 
 
-def _scored(spark: SparkSession, sf: str, run: str, k: int = 10, least: int = 1) -> DataFrame:
-    p = pool(spark, sf)
+def _scored(spark: SparkSession, sf: str, run: str, k: int = 10, least: int = 1, p: DataFrame | None = None) -> DataFrame:
+    p = pool(spark, sf) if p is None else p
     runs = p.where(F.col(run).isNotNull()).select("qid", "did", F.col(run).alias("rank"))
     return me.per_query(runs, p.where("grade IS NOT NULL").select("qid", "did", "grade"), k, least)
 
@@ -172,10 +172,11 @@ def facet_means(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def run_comparison(spark: SparkSession, sf: str) -> DataFrame:
+def run_comparison(spark: SparkSession, sf: str, p: DataFrame | None = None) -> DataFrame:
     """Fused against dense run per metric: mean difference, its
     bootstrap interval, randomisation p (Holm among the secondary metrics) and gate."""
-    current, base = _scored(spark, sf, "rank"), _scored(spark, sf, "dense_rank")
+    p = cut_lineage(pool(spark, sf)) if p is None else p  # read by every metric of both runs
+    current, base = (cut_lineage(_scored(spark, sf, run, p=p)) for run in ("rank", "dense_rank"))
     out = None
     for metric in ("ndcg", "recall", "mrr"):
         rows = me.paired(current, base, metric)
@@ -185,20 +186,21 @@ def run_comparison(spark: SparkSession, sf: str) -> DataFrame:
             .select(F.lit(metric).alias("metric"), "*")
         )
         out = one if out is None else out.unionByName(one)
-    p = F.when(F.col("metric") == "ndcg", F.col("p")).otherwise(F.least(F.lit(1.0), F.col("holm")))
+    adjusted = F.when(F.col("metric") == "ndcg", F.col("p")).otherwise(F.least(F.lit(1.0), F.col("holm")))
     ranked = out.withColumn("i", F.expr("row_number() OVER (PARTITION BY metric = 'ndcg' ORDER BY p, metric)"))
     step = ranked.withColumn("step", F.col("p") * (3 - F.col("i"))).withColumn(
         "holm", F.expr("max(step) OVER (PARTITION BY metric = 'ndcg' ORDER BY i)")
     )
     gate = F.coalesce(*[F.when(F.col("metric") == m, F.col("delta") < -g) for m, g in me.GATE.items()], F.lit(False))
-    return step.select("metric", "n", *[_micro(c).alias(c) for c in ("delta", "low", "high")], F.floor(p * 1e6 + 0.5).cast("long").alias("p"), gate.alias("fails_gate"))
+    return step.select("metric", "n", *[_micro(c).alias(c) for c in ("delta", "low", "high")], F.floor(adjusted * 1e6 + 0.5).cast("long").alias("p"), gate.alias("fails_gate"))
 
 
 def run_verdict(spark: SparkSession, sf: str) -> DataFrame:
     """Verdict on the fused run, and the hash of the judgments it used."""
-    labels = me.labels_hash(pool(spark, sf).where("grade IS NOT NULL"), buckets=1)
-    judged = _scored(spark, sf, "rank").agg(F.avg("judged")).scalar()
-    compared = run_comparison(spark, sf)
+    p = cut_lineage(pool(spark, sf))
+    labels = me.labels_hash(p.where("grade IS NOT NULL"), buckets=1)
+    judged = _scored(spark, sf, "rank", p=p).agg(F.avg("judged")).scalar()
+    compared = run_comparison(spark, sf, p)
     return me.verdict(compared, judged, F.lit(True)).join(labels)
 
 
