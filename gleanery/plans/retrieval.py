@@ -26,10 +26,13 @@ def _dense(spark, sf, k=r.CANDIDATES, group=None) -> DataFrame:
     return r.dense_top_k(e, "vec_id", "embedding", q, "qid", k, exclude_self=True, group=group)
 
 
-def _sparse(spark, sf, k=r.CANDIDATES) -> DataFrame:
+def _lexical(spark, sf) -> r.LexicalIndex:
     docs = table(spark, sf, "documents").select((F.col("doc_id") - DOC_BASE).alias("vec_id"), "text")
-    scores = r.bm25_scores(docs, "vec_id", "text", _queries(spark, sf), "qid", "title")
-    return r.top_k(scores, "qid", "vec_id", "score", k)
+    return r.lexical_index(docs, "vec_id", "text", _queries(spark, sf), "qid", "title")
+
+
+def _sparse(spark, sf, k=r.CANDIDATES) -> DataFrame:
+    return r.bm25_top_k(_lexical(spark, sf), "qid", "vec_id", k)
 
 
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,15 +123,12 @@ def _searched(spark, sf) -> DataFrame:
     """Fused, boosted and capped results: qid, vec_id, domain, relevance, micro, rank."""
     labels = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("domain"))
     routed = _routed(spark, sf)
-    docs = table(spark, sf, "documents").select((F.col("doc_id") - DOC_BASE).alias("vec_id"), "text")
-    scores = r.bm25_scores(docs, "vec_id", "text", _queries(spark, sf), "qid", "title")
-    own_sparse = scores.join(labels, "vec_id").join(routed, ["qid", "domain"]).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("qid", "domain").orderBy(F.desc("score"), "vec_id"))
-    ).where(F.col("rank") <= r.CANDIDATES)
+    lexical = _lexical(spark, sf)
+    own_sparse = r.bm25_top_k(lexical, "qid", "vec_id", r.CANDIDATES, labels, "domain").join(routed, ["qid", "domain"])
     own_dense = _dense(spark, sf, r.CANDIDATES, group="label").withColumnRenamed("label", "domain").join(routed, ["qid", "domain"])
     fused = r.rrf(
         [
-            (_dense(spark, sf), 1.0, "dense_rank"), (r.top_k(scores, "qid", "vec_id", "score", r.CANDIDATES), 1.0, "sparse_rank"),
+            (_dense(spark, sf), 1.0, "dense_rank"), (r.bm25_top_k(lexical, "qid", "vec_id", r.CANDIDATES), 1.0, "sparse_rank"),
             (own_dense, r.ROUTED_WEIGHT, "own_dense"), (own_sparse, r.ROUTED_WEIGHT, "own_sparse"),
         ],
         "qid", "vec_id",
