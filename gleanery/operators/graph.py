@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.session import cut_lineage
+from gleanery.session import written
 
 
 def bounded_walk(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -25,13 +25,16 @@ def bounded_walk(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (least node): minimum labels with pointer jumping."""
-    both = cut_lineage(
+    """node, component (least node): minimum labels with pointer jumping.
+
+    Rounds are written as tables: a checkpoint keeps the constraints of its plan,
+    and those of nested least() multiply with every round on the driver."""
+    both = written(
         edges.select(F.col("src").alias("node"), F.col("dst").alias("other"))
         .unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other")))
         .distinct()
     )
-    labels = cut_lineage(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
+    labels = written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("l")), "other")
@@ -39,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         best = F.least("label", "l", F.coalesce("up", "label"))
-        step = cut_lineage(
+        step = written(
             labels.join(near, "node").join(hop, "label", "left")
             .select("node", best.alias("new"), (best != F.col("label")).alias("moved"))
         )
