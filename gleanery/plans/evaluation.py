@@ -23,7 +23,8 @@ def pool(spark: SparkSession, sf: str) -> DataFrame:
     """qid, did, rank of the fused list, dense_rank, sparse_rank, label, qlabel, grade."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("did"), "label")
     q = e.select(F.col("did").alias("qid"), F.col("label").alias("qlabel"))
-    found = retrieval._fused(spark, sf).withColumnRenamed("vec_id", "did").join(e, "did").join(q, "qid")
+    # the join with q drops the lists of questions without a vector: they are not searched
+    found = retrieval._fused(spark, sf, q.select("qid")).withColumnRenamed("vec_id", "did").join(e, "did").join(q, "qid")
     grade = F.when(F.col("did") % 7 == 0, None).when(F.col("label") == F.col("qlabel"), 1 + F.col("did") % 3).otherwise(0)
     return found.select("qid", "did", "rank", "dense_rank", "sparse_rank", "label", "qlabel", grade.cast("int").alias("grade"))
 

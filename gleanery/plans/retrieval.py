@@ -26,13 +26,16 @@ def _dense(spark, sf, k=r.CANDIDATES, group=None) -> DataFrame:
     return r.dense_top_k(e, "vec_id", "embedding", q, "qid", k, exclude_self=True, group=group)
 
 
-def _lexical(spark, sf) -> r.LexicalIndex:
+def _lexical(spark, sf, only: DataFrame | None = None) -> r.LexicalIndex:
     docs = table(spark, sf, "documents").select((F.col("doc_id") - DOC_BASE).alias("vec_id"), "text")
-    return r.lexical_index(docs, "vec_id", "text", _queries(spark, sf), "qid", "title")
+    queries = _queries(spark, sf)
+    if only is not None:
+        queries = queries.join(only, "qid", "left_semi")
+    return r.lexical_index(docs, "vec_id", "text", queries, "qid", "title")
 
 
-def _sparse(spark, sf, k=r.CANDIDATES) -> DataFrame:
-    return r.bm25_top_k(_lexical(spark, sf), "qid", "vec_id", k)
+def _sparse(spark, sf, k=r.CANDIDATES, only: DataFrame | None = None) -> DataFrame:
+    return r.bm25_top_k(_lexical(spark, sf, only), "qid", "vec_id", k)
 
 
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,8 +48,10 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _sparse(spark, sf, 10).select("qid", "vec_id", "score", "rank")
 
 
-def _fused(spark, sf) -> DataFrame:
-    fused = r.rrf([(_dense(spark, sf), 1.0, "dense_rank"), (_sparse(spark, sf), 1.0, "sparse_rank")], "qid", "vec_id")
+def _fused(spark, sf, only: DataFrame | None = None) -> DataFrame:
+    """The fused lists, with ``only`` (qid) those of its questions: a question's list
+    does not depend on the others."""
+    fused = r.rrf([(_dense(spark, sf), 1.0, "dense_rank"), (_sparse(spark, sf, only=only), 1.0, "sparse_rank")], "qid", "vec_id")
     return r.fused_top(fused, "qid", "vec_id", ["dense_rank", "sparse_rank"], r.CANDIDATES)
 
 
